@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, pii, quality, sharding
 
 QUERIES = {
+    "op1_pii": pii.op1,
     "op2_mixing": mixing.op2,
+    "op7_quality": quality.op7,
     "op9_sharding": sharding.op9,
 }
 
