@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, sharding
+from . import mixing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op2_mixing": mixing.op2,
     "op7_quality": quality.op7,
+    "op8_toxicity": toxicity.op8,
     "op9_sharding": sharding.op9,
 }
 
