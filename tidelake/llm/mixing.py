@@ -141,8 +141,9 @@ def lay(df: DataFrame, ident: str, text: str, source: str, seed: int) -> tuple[D
     total = rows.groupBy("_source").agg(F.sum("_size").alias("words"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(total) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    deal = max([1, *(-(-r["n"] // LAID_TOGETHER) for r in total)])
-    rows = rows.withColumn("_deal", F.pmod(F.shiftright("_hash", 7), F.lit(deal)))
+    # each source by its own count: a row for each source, MOST_SOURCES at most
+    deals = df.sparkSession.createDataFrame([(r["_source"], -(-r["n"] // LAID_TOGETHER)) for r in total], "_of string, _deals long")
+    rows = rows.join(F.broadcast(deals), F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_deal", F.pmod(F.shiftright("_hash", 7), F.col("_deals"))).drop("_of", "_deals")
     sums = rows.groupBy("_source", "_deal").agg(F.sum("_size").alias("_sum"))
     before = sums.select(F.col("_source").alias("_s"), F.col("_deal").alias("_d"),
                          (F.sum("_sum").over(Window.partitionBy("_source").orderBy("_deal")) - F.col("_sum")).alias("_before"))
