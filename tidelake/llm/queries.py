@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, sharding, toxicity
+from . import mixing, neardup, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_quality": quality.op7,
     "op8_toxicity": toxicity.op8,
     "op9_sharding": sharding.op9,
+    "op10_neardup": neardup.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
