@@ -131,7 +131,7 @@ class Tokenizer:
     def word(self, word: str) -> tuple[str, int, str]:
         """Of a word without white space, in lower case: its ids and its tokens, each joined by a space, and their number."""
         ids: list[int] = []
-        for p in [word] if word.isascii() and word.isalpha() else self.piece.findall(word):
+        for p in [word] if word.isascii() and word.isalpha() else self.cut(word):
             ids += self.pieces.get(p) or self._piece(p)
         out = (" ".join(map(str, ids)), len(ids), " ".join(map(self.names.__getitem__, ids)))
         if len(word) <= LONGEST:
@@ -140,6 +140,14 @@ class Tokenizer:
             self.known[word] = out
         return out
 
+    def cut(self, word: str) -> list[str]:
+        """The pieces of a word. Letters and digits are those of the Unicode version that the tokenizers know, which the
+        newer tables of the pattern's engine go beyond: code points unassigned there are neither."""
+        if word.isascii():
+            return self.piece.findall(word)
+        known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in word)
+        return [word[m.start():m.end()] for m in self.piece.finditer(known)]
+
     def _piece(self, piece: str) -> list[int]:
         out = list(self.transduce(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= LONGEST:
