@@ -129,7 +129,8 @@ class Tokenizer:
         yield from self.merged([*(self.plain[b] for b in piece[at:-1]), self.last[piece[-1]]])
 
     def word(self, word: str) -> tuple[str, int, str]:
-        """Of a word without white space, in lower case: its ids and its tokens, each joined by a space, and their number."""
+        """Of a word without white space, in lower case (letters and digits as in the Unicode tables of the pattern's engine, which
+        know some hundred code points more than the tokenizers' own): its ids and its tokens, each joined by a space, and their number."""
         ids: list[int] = []
         for p in [word] if word.isascii() and word.isalpha() else self.cut(word):
             ids += self.pieces.get(p) or self._piece(p)
