@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, pii, quality, sharding, toxicity
+from . import bpe, mixing, neardup, pii, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op2_mixing": mixing.op2,
+    "op4_tokenfile": tokenfile.op4,
     "op5_bpe": bpe.op5,
     "op7_quality": quality.op7,
     "op8_toxicity": toxicity.op8,
