@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, pii, quality, sharding, tokenfile, toxicity
+from . import bpe, media, mixing, neardup, pii, quality, sharding, tokencount, tokenfile, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op2_mixing": mixing.op2,
+    "op3_media": media.op3,
     "op4_tokenfile": tokenfile.op4,
     "op5_bpe": bpe.op5,
+    "op6_tokencount": tokencount.op6,
     "op7_quality": quality.op7,
     "op8_toxicity": toxicity.op8,
     "op9_sharding": sharding.op9,
