@@ -8,8 +8,9 @@ Groups of copies never become pairs:
 1. equal word sequences are one text from the start;
 2. each text is compared with one leader only, the least id that it shares the most bands with, and confirmed links are
    contracted into components;
-3. texts that share a band but not a component are compared in blocks of at most 128 by 128, and only confirmed links
-   leave a block.
+3. texts that share a band but not a component are compared in blocks of at most 512 by 512, and only confirmed links
+   leave a block. Buckets of such texts that overlap make clusters; a cluster of up to 4096 texts is compared as a whole,
+   so that its texts travel once and not for every bucket.
 Step 3 looks at all that step 2 may have missed, so no link between different texts depends on the choice of leaders.
 What can miss a link is the sketch alone: with the bands chosen here, less than one in a million at the threshold.
 """
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from . import sketch as S
 from .common import stored, table
 
-BLOCK, MISSED, SIGMAS = 128, 1e-6, 4.5
-#: Ids whose texts are fetched by a broadcast: 8 bytes each, so 16 MB; more are fetched by a shuffle.
-FEW_IDS = 2_000_000
+BLOCK, MISSED, SIGMAS = 512, 1e-6, 4.5
+#: Rows of one long, or two, that are broadcast: 32 MB at most; more are joined by a shuffle.
+FEW = 2_000_000
+#: Texts in a cluster that is compared as a whole; in larger ones, only texts that share a bucket are.
+CLUSTER = 4096
 
 
 def band_size(threshold: float) -> int:
@@ -155,6 +158,11 @@ def blocked(rows: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(read, "a long, b long")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row for each row of df: ident, n_shingles (long), component_id (the least ident that links lead to) and kept.
 
@@ -166,17 +174,16 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", sh
     docs = df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text"))
     every = stored(sketched(docs, shingle), "sketches")
     firsts = stored(every.filter("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("_rep")), "firsts")
-    single = every.join(firsts.select(F.col("_rep").alias("_id")).distinct(), "_id", "left_semi").filter("_key is not null")
+    reps = stored(firsts.select(F.col("_rep").alias("_id")).distinct(), "firsts")
+    single = every.filter("_key is not null").join(small(reps), "_id", "left_semi")
     size = band_size(threshold)
     keys = F.transform(F.sequence(F.lit(0), F.lit(S.REGISTERS // size - 1)), lambda i: F.xxhash64(i, F.col("_sketch").substr(i * (2 * size) + 1, F.lit(2 * size))))
     bands = single.select("_id", F.explode(keys).alias("_bucket"))
     shared = bands.groupBy("_bucket").agg(F.min("_id").alias("_leader"), F.max("_id").alias("_last")).filter("_leader < _last").select("_bucket", "_leader")
-    members = stored(bands.join(shared, "_bucket").distinct(), "members")
+    members = stored(bands.join(small(stored(shared, "buckets")), "_bucket").distinct(), "members")
 
     ids = stored(members.select("_id").distinct(), "candidates")
-    few = ids.count() <= FEW_IDS
-    full = stored(sketched(docs.join(F.broadcast(ids) if few else ids, "_id", "left_semi"), shingle, True)
-                  .filter("_key is not null").drop("_key"), "sets")
+    full = stored(sketched(docs.join(small(ids), "_id", "left_semi"), shingle, True).filter("_key is not null").drop("_key"), "sets")
     best = members.filter("_id != _leader").groupBy("_id", "_leader").count().groupBy("_id").agg(F.max_by("_leader", F.struct("count", -F.col("_leader"))).alias("_leader"))
     side = lambda name: full.select(F.col("_id").alias(name), F.col("_n").alias(f"n_{name}"), F.col("_sketch").alias(f"sketch_{name}"), F.col("_set").alias(f"set_{name}"))
     pairs = best.select(F.col("_id").alias("a"), F.col("_leader").alias("b")).join(side("a"), "a").join(side("b"), "b")
@@ -184,11 +191,18 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", sh
 
     labels = components(edges)
     labelled = members.join(labels.withColumnRenamed("id", "_id"), "_id", "left").select("_bucket", "_id", F.coalesce("label", "_id").alias("label"))
-    mixed = labelled.groupBy("_bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_count"), F.sum(F.shiftright(F.xxhash64("_id"), 20)).alias("_sum"))
+    mixed = labelled.groupBy("_bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("_id").alias("_first"), F.count("*").alias("_count"), F.sum(F.shiftright(F.xxhash64("_id"), 20)).alias("_sum"))
     # buckets with the same texts are looked at once
-    mixed = mixed.filter("_a < _b").groupBy("_count", "_sum").agg(F.min("_bucket").alias("_bucket")).select("_bucket", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
-    left = labelled.join(mixed, "_bucket").withColumn("_side", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_blocks")).cast("int"))
-    dealt = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    mixed = stored(mixed.filter("_a < _b").groupBy("_count", "_sum", "_first").agg(F.min("_bucket").alias("_bucket")).drop("_sum"), "mixed")
+    left = stored(labelled.join(small(mixed), "_bucket"), "mixed-members")
+    clusters = components(left.filter("_id != _first").select(F.col("_id").alias("a"), F.col("_first").alias("b")).distinct())
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("_texts")).withColumnRenamed("label", "_cluster")
+    placed = left.join(clusters.select(F.col("id").alias("_id"), F.col("label").alias("_cluster")), "_id").join(sizes, "_cluster")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias("_blocks")
+    whole = placed.filter(F.col("_texts") <= CLUSTER).select(F.col("_cluster").alias("_bucket"), "_id", "label", blocks("_texts")).distinct()
+    parts = placed.filter(F.col("_texts") > CLUSTER).select("_bucket", "_id", "label", blocks("_count"))
+    dealt = whole.union(parts).withColumn("_side", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("_bucket", F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi"), "_side", "_id", "label").join(full, "_id")
     more = blocked(dealt, threshold)
     labels = components(edges.union(more))
