@@ -19,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -214,20 +215,34 @@ def loaded(path: str) -> Tokenizer:
 
 
 def encoded(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, ids: array of int, decoded: what an incremental decoder gives back) for each row; a null text counts as empty."""
+    """(ident, n_tokens, ids: array of int) for each row; a null text counts as empty and has no ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(path)
         for b in batches:
             for at in range(0, len(b), 128):
-                ids = [own.encode(t) for t in b.column(1).slice(at, 128).to_pylist()]
-                texts = []
-                for x in ids:
-                    d = own.decoder()
-                    texts.append("".join([*map(d.feed, x), d.close()]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 128), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["_id", "ids", "decoded"])
-
-    return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, "_id long, ids array<int>, decoded string").withColumnRenamed("_id", ident)
+                ids = [np.fromstring(" ".join([p[0] for p in own.parts(t or "") if p[1]]) or " ", np.int32, sep=" ") for t in b.column(1).slice(at, 128).to_pylist()]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 128), pa.array(sizes), lists], names=["_id", "n_tokens", "ids"])
+
+    return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, "_id long, n_tokens long, ids array<int>").withColumnRenamed("_id", ident)
+
+
+def decoded(df: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(ident, text) from arrays of ids, by the incremental decoder; null ids give an empty text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(path)
+        for b in batches:
+            texts = []
+            for x in b.column(1):
+                d = own.decoder()
+                texts.append("".join([*map(d.feed, x.as_py() or ()), d.close()]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
+
+    return df.select(F.col(ident).cast("long").alias("_id"), F.col(ids).alias("_ids")).mapInArrow(read, "_id long, text string").withColumnRenamed("_id", ident)
 
 
 def digests(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:

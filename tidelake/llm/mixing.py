@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words, stored, table
+from .common import n_words, stored, table, words
 
 #: Words in a block, and the least number of blocks that a source with enough words is cut into.
 BLOCK_WORDS, LEAST_BLOCKS = 256, 128
@@ -131,13 +131,17 @@ def plan(sizes: list[tuple[str | None, int]], weights: list[float], shards: int,
     return rows
 
 
+def row_hash(ident: str, text: str, source: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(ident), F.col(source), F.coalesce(F.col(text), F.lit("")))
+
+
 def lay(df: DataFrame, ident: str, text: str, source: str, seed: int) -> tuple[DataFrame, dict]:
     """(_id, _source, _size, _start: words of the source before the document) and each source's words.
 
     Documents are dealt to (source, hash) buckets; a bucket's start is the sum of those before it, so a source that holds
     most rows is spread over as many tasks as its rows need."""
     rows = stored(df.select(F.col(ident).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), n_words(F.col(text)).alias("_size"),
-                            F.xxhash64(F.lit(seed), F.col(ident), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"))).alias("_hash")), "mix-rows")
+                            row_hash(ident, text, source, seed).alias("_hash")), "mix-rows")
     total = rows.groupBy("_source").agg(F.sum("_size").alias("words"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(total) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -149,14 +153,14 @@ def lay(df: DataFrame, ident: str, text: str, source: str, seed: int) -> tuple[D
                          (F.sum("_sum").over(Window.partitionBy("_source").orderBy("_deal")) - F.col("_sum")).alias("_before"))
     own = F.sum("_size").over(Window.partitionBy("_source", "_deal").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     laid = rows.withColumn("_own", own).join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_deal") == F.col("_d")))
-    laid = stored(laid.select("_id", "_source", "_size", (F.col("_own") + F.col("_before")).alias("_start")), "mix-laid")
+    laid = stored(laid.select("_id", "_source", "_size", "_hash", (F.col("_own") + F.col("_before")).alias("_start")), "mix-laid")
     return laid, {r["_source"]: r["words"] for r in total}
 
 
 def mix(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, seed: int = 17, most: float = 3.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Draws the mix. Returns the documents as laid on their sources' lines, one row for each drawn part, and the plan.
 
-    Columns of a part: _id, _source, _size, _start, pass (which pass over the source, from 0), shard, place (an order within the
+    Columns of a part: _id, _source, _size, _hash (of the row), _start, pass (which pass over the source, from 0), shard, place (an order within the
     shard that mixes all sources), from_word and n_words. weights: by source; None: 1, 2, 3, repeating, over the sources
     in code point order, null last. A null text has no words and is never drawn; a null source is a source of its own;
     repeated rows are rows of their own; an empty table gives no rows.
@@ -184,7 +188,7 @@ def mix(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text:
     turn = F.col("pass") * F.col("blocks") + F.col("_rank")
     drawn = drawn.withColumn("shard", (F.size(F.filter("starts", lambda s: s <= turn)) - 1).cast("int"))
     place = F.xxhash64(F.lit(seed), "_source", "_block", "pass")
-    return laid, drawn.select("_id", "_source", "_size", "_start", "pass", "shard", place.alias("place"), "from_word", "n_words"), planned
+    return laid, drawn.select("_id", "_source", "_size", "_hash", "_start", "pass", "shard", place.alias("place"), "from_word", "n_words"), planned
 
 
 def planned_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -196,6 +200,21 @@ def shuffled(drawn: DataFrame, shards: int) -> DataFrame:
     return drawn.repartition(shards, "shard").sortWithinPartitions("shard", "place", "_source", "_start", "from_word")
 
 
+def mixed(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, seed: int = 17, most: float = 3.0) -> DataFrame:
+    """The mix's texts with df's columns: a row for each pass over a document, with the words that the pass takes of it.
+
+    A document that is taken whole keeps its text as it is; of others, the drawn blocks' words stay, joined by spaces.
+    Documents of which nothing is taken go. Rows that are equal in ident, source and text count as often as they occur."""
+    _, drawn, _ = mix(df, weights, ident, text, source, shards, seed, most)
+    part = F.struct(F.col("from_word").cast("int").alias("at"), F.col("n_words").cast("int").alias("n"))
+    taken = drawn.groupBy("_hash", "_start", "_size", "pass").agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.sum("n_words").alias("_taken"))  # a document's blocks
+    docs = df.withColumn("_hash", row_hash(ident, text, source, seed)).dropDuplicates(["_hash"])
+    own = words(F.col(text))
+    cut = F.array_join(F.flatten(F.transform(F.array(own), lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["at"] + 1, p["n"]))))), " ")
+    out = docs.join(taken.select("_hash", "_size", "_parts", "_taken"), "_hash")
+    return out.withColumn(text, F.when(F.col("_taken") == F.col("_size"), F.col(text)).otherwise(cut)).select(*df.columns)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     laid, drawn, planned = mix(table(spark, sf_dir, "documents"))
