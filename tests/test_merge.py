@@ -1,0 +1,220 @@
+"""Merge engines against a fold written out in Python, on random records and on the known traps."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelake.operators import merge as M
+
+SCHEMA = "k int, s int, g int, a int, b int, c string, _SEQUENCE_NUMBER long, _VALUE_KIND tinyint"
+
+
+def run(spark, rows, spec, **more):
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_VALUE_KIND", F.col("_VALUE_KIND").cast("tinyint"))
+    return sorted((tuple(r) for r in M.merge(df, spec, **more).select("k", "s", "g", "a", "b", "c", *(["_VALUE_KIND"] if more else [])).collect()), key=repr)
+
+
+def random_rows(seed, kinds, keys=12, n=120):
+    rng = random.Random(seed)
+    some = lambda *xs: rng.choice([None, *xs])
+    return [(rng.randrange(keys), some(1, 2, 3), some(1, 2, 3, 4), some(1, 2, 3), some(10, 20), some("x", "y"), i, rng.choice(kinds)) for i in range(n)]
+
+
+def first_nulls(v):
+    return (v is not None, v if v is not None else 0)
+
+
+def by_key(rows, sequence=()):
+    out = {}
+    for r in rows:
+        out.setdefault(r[0], []).append(dict(zip("k s g a b c seq kind".split(), r, strict=True)))
+    return {k: sorted(v, key=lambda r: (*(first_nulls(r[f]) for f in sequence), r["seq"])) for k, v in out.items()}
+
+
+def values(r):
+    return (r["k"], r["s"], r["g"], r["a"], r["b"], r["c"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("ignore", [False, True])
+def test_deduplicate(spark, seed, ignore):
+    rows = random_rows(seed, [0, 0, 1, 2, 3])
+    want = []
+    for rs in by_key(rows, "s").values():
+        live = [r for r in rs if not (ignore and r["kind"] in (1, 3))]
+        if live and live[-1]["kind"] in (0, 2):
+            want.append(values(live[-1]))
+    assert run(spark, rows, M.MergeSpec(["k"], "deduplicate", ["s"], ignore_delete=ignore)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("field", ["s", "c"])
+def test_descending_keeps_nulls_first(spark, field):
+    rows = random_rows(5, [0])
+    want = []
+    for rs in by_key(rows).values():
+        least = [r for r in rs if r[field] is not None]
+        low = min((r[field] for r in least), default=None)
+        want.append(values([r for r in rs if r[field] == low][-1]))
+    assert run(spark, rows, M.MergeSpec(["k"], "deduplicate", [field], descending=True)) == sorted(want, key=repr)
+
+
+def test_first_row(spark):
+    rows = random_rows(6, [0, 2])
+    want = [values(rs[0]) for rs in by_key(rows, "s").values()]
+    assert run(spark, rows, M.MergeSpec(["k"], "first-row", ["s"])) == sorted(want, key=repr)
+
+
+def test_first_row_retract_is_an_error_unless_alone(spark):
+    lone = [(1, 1, 1, 1, 1, "x", 0, 3)]
+    assert run(spark, lone, M.MergeSpec(["k"], "first-row")) == []
+    both = [*lone, (1, 1, 1, 1, 1, "x", 1, 0)]
+    with pytest.raises(Exception, match="no retractions"):
+        run(spark, both, M.MergeSpec(["k"], "first-row"))
+    assert len(run(spark, both, M.MergeSpec(["k"], "first-row", ignore_delete=True))) == 1
+
+
+def fold_aggregates(rs, functions):
+    if len(rs) == 1:
+        return None if rs[0]["kind"] in (1, 3) else values(rs[0])
+    acc = dict.fromkeys("sgabc")
+    begun = dict.fromkeys("sgabc", False)
+    for r in rs:
+        for c in "sgabc":
+            f, x, a, retract = functions[c], r[c], acc[c], r["kind"] in (1, 3)
+            if f == "sum":
+                acc[c] = a if x is None else ((a or 0) - x if retract else (a or 0) + x)
+            elif f == "last_value":
+                acc[c] = None if retract else x
+            elif f == "last_non_null_value":
+                acc[c] = a if x is None else None if retract else x
+            elif f in ("max", "min"):
+                acc[c] = a if x is None or retract else x if a is None else (max if f == "max" else min)(a, x)
+            elif f == "first_value" and not begun[c]:
+                acc[c], begun[c] = x, True
+            elif f == "first_non_null_value" and not begun[c] and x is not None:
+                acc[c], begun[c] = x, True
+    return (rs[0]["k"], *(acc[c] for c in "sgabc"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_aggregation_with_retractions(spark, seed):
+    rows = random_rows(seed, [0, 0, 0, 2, 3])
+    functions = {"s": "last_value", "g": "sum", "a": "max", "b": "last_value", "c": "last_non_null_value"}
+    want = [x for rs in by_key(rows).values() if (x := fold_aggregates(rs, functions))]
+    spec = M.MergeSpec(["k"], "aggregation", aggregates=functions, ignore_retract={"a"})
+    assert run(spark, rows, spec) == sorted(want, key=repr)
+
+
+def test_first_values(spark):
+    rows = random_rows(9, [0])
+    functions = {"s": "first_value", "g": "first_non_null_value", "a": "min", "b": "first_value", "c": "first_non_null_value"}
+    want = [fold_aggregates(rs, functions) for rs in by_key(rows).values()]
+    assert run(spark, rows, M.MergeSpec(["k"], "aggregation", aggregates=functions)) == sorted(want, key=repr)
+
+
+def test_two_records_that_cancel_leave_a_row_and_a_lone_retraction_does_not(spark):
+    spec = M.MergeSpec(["k"], "aggregation", aggregates={"a": "sum"}, default_aggregate="last_non_null_value", ignore_retract=set())
+    rows = [(1, 1, 1, 14, 1, "x", 0, 0), (1, 1, 1, 14, 1, "x", 1, 3), (2, 1, 1, 5, 1, "x", 2, 3)]
+    assert run(spark, rows, spec) == [(1, None, None, 0, None, None)]
+
+
+@pytest.mark.parametrize("kind, value, want", [("tinyint", 100, -56), ("int", 2**31 - 1, -2)])
+def test_integer_sums_wrap(spark, kind, value, want):
+    df = spark.createDataFrame([(1, value, 0, 0), (1, value, 1, 0)], "k int, v int, _SEQUENCE_NUMBER long, _VALUE_KIND int").selectExpr("k", f"cast(v AS {kind}) AS v", "_SEQUENCE_NUMBER", "cast(_VALUE_KIND AS tinyint) AS _VALUE_KIND")
+    assert M.merge(df, M.MergeSpec(["k"], "aggregation", aggregates={"v": "sum"})).collect()[0]["v"] == want
+
+
+def test_unsupported_retraction_names_the_option(spark):
+    rows = [(1, 1, 1, 1, 1, "x", 0, 0), (1, 1, 1, 2, 1, "x", 1, 3)]
+    with pytest.raises(Exception, match="fields.a.ignore-retract"):
+        run(spark, rows, M.MergeSpec(["k"], "aggregation", aggregates={"a": "max"}))
+
+
+def fold_partial(rs, remove=False, ignore=False):
+    if len(rs) == 1:
+        return None if rs[0]["kind"] in (1, 3) else values(rs[0])
+    acc, gone, any_ = dict.fromkeys("sgabc"), False, False
+    for r in rs:
+        gone = False
+        if r["kind"] in (1, 3):
+            if remove and r["kind"] == 3:
+                acc, gone = dict.fromkeys("sgabc"), True
+            continue
+        any_ = True
+        acc |= {c: r[c] for c in "sgabc" if r[c] is not None}
+    return None if gone or not any_ else (rs[0]["k"], *(acc[c] for c in "sgabc"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("remove", [False, True])
+def test_partial_update(spark, seed, remove):
+    rows = random_rows(seed, [0, 0, 2, 3])
+    want = [x for rs in by_key(rows).values() if (x := fold_partial(rs, remove, not remove))]
+    assert run(spark, rows, M.MergeSpec(["k"], "partial-update", remove_on_delete=remove, ignore_delete=not remove)) == sorted(want, key=repr)
+
+
+def fold_groups(rs, aggregate=None, remove=False):
+    """Group (s) -> a, c; group (g) -> b, with an aggregate on b."""
+    if len(rs) == 1:
+        return None if rs[0]["kind"] in (1, 3) else values(rs[0])
+    acc, gone = dict.fromkeys("sgabc"), False
+
+    def add(a, x):
+        if aggregate == "sum":
+            return x if a is None else a if x is None else a + x
+        return x if aggregate in (None, "last_value") else x if x is not None else a
+
+    for r in rs:
+        gone, retract = False, r["kind"] in (1, 3)
+        if remove and r["kind"] == 3 and r["s"] is not None and first_nulls(r["s"]) >= first_nulls(acc["s"]):
+            acc, gone = dict.fromkeys("sgabc"), True
+            continue
+        for seq, cols in (("s", "ac"), ("g", "b")):
+            if r[seq] is None:
+                continue
+            ahead = first_nulls(r[seq]) >= first_nulls(acc[seq])
+            for c in cols:
+                if c == "b" and aggregate:
+                    if retract:
+                        if aggregate == "sum":
+                            acc[c] = acc[c] if r[c] is None else (acc[c] or 0) - r[c]
+                        else:
+                            acc[c] = acc[c] if r[c] is None else None
+                    else:
+                        acc[c] = add(acc[c], r[c]) if ahead else add(r[c], acc[c])
+                elif ahead:
+                    acc[c] = None if retract else r[c]
+            if ahead:
+                acc[seq] = r[seq]
+    return None if gone else (rs[0]["k"], *(acc[c] for c in "sgabc"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("aggregate, kinds, remove", [("sum", [0], False), ("sum", [0, 0, 2, 3], False), ("last_non_null_value", [0, 0, 3], False), (None, [0, 1, 2], False), (None, [0, 0, 3], True)])
+def test_sequence_groups(spark, seed, aggregate, kinds, remove):
+    rows = random_rows(seed, kinds)
+    spec = M.MergeSpec(["k"], "partial-update", groups={("s",): ["a", "c"], ("g",): ["b"]}, aggregates={"b": aggregate} if aggregate else {}, remove_on_group=["s"] if remove else [])
+    want = sorted((x for rs in by_key(rows).values() if (x := fold_groups(rs, aggregate, remove))), key=repr)
+    assert run(spark, rows, spec) == want
+    if kinds == [0]:
+        spec.insert_only = True
+        assert run(spark, rows, spec) == want
+
+
+def test_keep_deletes_shows_the_last_word(spark):
+    rows = [(1, 1, 1, 1, 1, "x", 0, 0), (1, 1, 1, 1, 1, "x", 1, 3), (2, 1, 1, 1, 1, "x", 2, 1)]
+    assert [r[-1] for r in run(spark, rows, M.MergeSpec(["k"]), keep_deletes=True)] == [3, 1]
+
+
+def test_spec_checks():
+    for bad in ({"engine": "none"}, {"ignore_delete": True, "remove_on_delete": True}, {"groups": {("s",): ["a"]}, "remove_on_delete": True}, {"remove_on_group": ["s"]}, {"aggregates": {"a": "product"}}):
+        with pytest.raises(ValueError):
+            M.MergeSpec(["k"], **bad)
+
+
+def test_hot_key_is_combined_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("cast(0 as int) k", "cast(id as int) a", "id _SEQUENCE_NUMBER", "cast(0 as tinyint) _VALUE_KIND")
+    plan = M.merge(df, M.MergeSpec(["k"]))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and T is not None
