@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,10 +193,9 @@ def sniff(df: DataFrame, media: str, declared: str | None = None) -> DataFrame:
     """Adds type (as the bytes are; null if nothing is known to begin there), declared_ok and carved (type:start:end of
     what lies further inside, joined by commas). Null and empty bytes have no type; with no declared type, declared_ok is
     null. Columns of df with these names are replaced."""
-    @F.pandas_udf("type string, carved string")
-    def look(batches):
-        import pandas as pd
 
+    @F.pandas_udf("type string, carved string")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = automaton()
         for b in batches:
             rows = [found(bytes(x), own) if x is not None else [] for x in b]

@@ -29,8 +29,8 @@ from . import sketch as S
 from .common import stored, table
 
 BLOCK, MISSED, SIGMAS = 512, 1e-6, 4.5
-#: Rows of one long, or two, that are broadcast: 32 MB at most; more are joined by a shuffle.
-FEW = 2_000_000
+#: Rows of one long, or two, that are broadcast (72 bytes a row as sent, so 72 MB at most); more are joined by a shuffle.
+FEW = 1_000_000
 #: Texts in a cluster that is compared as a whole; in larger ones, only texts that share a bucket are.
 CLUSTER = 4096
 

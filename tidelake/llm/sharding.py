@@ -45,20 +45,28 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 def cuts(sizes: list[int], shards: int) -> list[int]:
     """Where each shard ends (an index, exclusive) so that the largest shard is as small as can be.
 
-    Under that capacity every shard aims at an equal part of what is left, so that one large group doesn't leave others
-    empty. Fewer groups than shards: the last shards are empty.
+    Under that capacity every shard aims at an equal part of what is left, large groups aside, so that one of these doesn't
+    leave other shards empty. Fewer groups than shards: the last shards are empty.
     """
     capacity, ends, n = smallest_capacity(sizes, shards), [0, *accumulate(sizes)], len(sizes)
     need = [0] * (n + 1)  # shards that greedy filling takes from here on
     for i in range(n - 1, -1, -1):
         need[i] = 1 + need[max(i + 1, bisect_right(ends, ends[i] + capacity) - 1)]
-    out, at = [], 0
+    large = [i for i, s in enumerate(sizes) if s * shards > ends[-1]]  # these stand alone where that is possible
+    out, at, total = [], 0, ends[-1]
     for left in range(shards, 0, -1):
         furthest = bisect_right(ends, ends[at] + capacity) - 1
-        aim = ends[at] + (ends[-1] - ends[at]) / left
-        to = bisect_right(ends, aim) - 1
-        if to < n and ends[to + 1] - aim < aim - ends[to]:
-            to += 1
+        ahead = large[bisect_right(large, at - 1):]
+        if ahead and ahead[0] == at:
+            to = at + 1
+        else:  # an equal part of what stands before the next large one
+            upto = ahead[0] if ahead else n
+            even = (total - ends[at] - sum(sizes[i] for i in ahead)) / max(1, left - len(ahead))
+            parts = max(1, round((ends[upto] - ends[at]) / even)) if even else 1
+            aim = ends[at] + (ends[upto] - ends[at]) / parts
+            to = bisect_right(ends, aim) - 1
+            if to < upto and ends[to + 1] - aim < aim - ends[to]:
+                to += 1
         to = min(max(to, min(at + 1, n)), furthest)
         while need[to] > left - 1:  # the rest must still fit
             to += 1
