@@ -54,6 +54,7 @@ class Tokenizer:
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.named = self.names | {str(i): t for i, t in self.names.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"])
         letters = byte_letters()
@@ -66,7 +67,7 @@ class Tokenizer:
         self.made = [t for _, t in self.merges.values()]
         self.length = {i: len(t.removesuffix(self.end)) if t not in ("", self.end) else len(t) for t, i in self.vocab.items()}
         self.lookahead = self._lookahead()
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple[str, int]] = {}
         self.pieces: dict[str, list[int]] = {}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -129,13 +130,13 @@ class Tokenizer:
                 yield t
         yield from self.merged([*(self.plain[b] for b in piece[at:-1]), self.last[piece[-1]]])
 
-    def word(self, word: str) -> tuple[str, int, str]:
+    def word(self, word: str) -> tuple[str, int]:
         """Of a word without white space, in lower case (letters and digits as in the Unicode tables of the pattern's engine, which
-        know some hundred code points more than the tokenizers' own): its ids and its tokens, each joined by a space, and their number."""
+        know some hundred code points more than the tokenizers' own): its ids, joined by a space, and their number."""
         ids: list[int] = []
         for p in [word] if word.isascii() and word.isalpha() else self.cut(word):
             ids += self.pieces.get(p) or self._piece(p)
-        out = (" ".join(map(str, ids)), len(ids), " ".join(map(self.names.__getitem__, ids)))
+        out = (" ".join(map(str, ids)), len(ids))
         if len(word) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -158,17 +159,17 @@ class Tokenizer:
             self.pieces[piece] = out
         return out
 
-    def parts(self, text: str) -> Iterator[tuple[str, int, str]]:
+    def parts(self, text: str) -> Iterator[tuple[str, int]]:
         """What word() gives, for all words of a text; special tokens by themselves."""
         at = 0
         if self._special and "<|" in text:
             for m in self._special.finditer(text):
                 yield from self._parts(text[at:m.start()])
-                yield str(self.special[m.group()]), 1, m.group()
+                yield str(self.special[m.group()]), 1
                 at = m.end()
         yield from self._parts(text[at:] if at else text)
 
-    def _parts(self, text: str) -> Iterator[tuple[str, int, str]]:
+    def _parts(self, text: str) -> Iterator[tuple[str, int]]:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
@@ -178,11 +179,12 @@ class Tokenizer:
                 yield get(w) or new(w)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, n, _ in self.parts(text or "") if n for i in ids.split(" ")]
+        return [int(i) for ids, n in self.parts(text or "") if n for i in ids.split(" ")]
 
-    def tokens(self, ids: Iterable[int]) -> str:
-        """The tokens of ids joined by a space, special ones too."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def tokens(self, ids: Iterable[int | str]) -> str:
+        """What the library's decode gives for a file without a decoder: the tokens of ids (numbers, or their digits) joined
+        by a space, special ones too; ids that aren't in the vocabulary give nothing."""
+        return " ".join(filter(None, map(self.named.get, ids)))
 
     def decoder(self) -> Decoder:
         return Decoder(self)
@@ -246,16 +248,17 @@ def decoded(df: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids") -
 
 
 def digests(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_tokens, ids_sha256, decoded_sha256): the transducer's ids and their tokens, without keeping either."""
+    """(ident, n_tokens, ids_sha256, decoded_sha256): digests of the transducer's ids and of what they decode to, text by text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(path)
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+        sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
             out = []
             for t in b.column(1):
                 parts = [p for p in own.parts(t.as_py() or "") if p[1]]
-                out.append((sum(p[1] for p in parts), sha([p[0] for p in parts]), sha([p[2] for p in parts])))
+                ids = " ".join([p[0] for p in parts])
+                out.append((sum(p[1] for p in parts), sha(ids), sha(own.tokens(ids.split(" ")) if ids else "")))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", ident)
