@@ -346,3 +346,41 @@ def test_unregistered_casts():
     for a, b in ((T.DoubleType(), T.BooleanType()), (T.ArrayType(T.LongType()), T.StringType()), (T.DateType(), T.LongType()), (T.LongType(), T.DateType())):
         with pytest.raises(UnsupportedCast):
             cast(None, a, b)
+
+
+def test_streaming_source(spark, cat, tmp_path):
+    from tidelake.streaming.source import Source
+
+    spark.dataSource.register(Source)
+    t = cat.create_table("db.t", {"k": "BIGINT", "v": "STRING"}, ["v"])
+    t.append(frame(spark, [(1, "a"), (2, "b")]))
+    t.drop_partitions([{"v": "b"}])
+    t.alter(("add", "w", "INT"))
+    t.append(frame(spark, [(3, "c", 7)], "k long, v string, w int"))
+
+    def follow():
+        got = []
+        q = spark.readStream.format("tidelake").load(t.path).writeStream.foreachBatch(lambda df, i: got.extend(map(tuple, df.collect()))).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(got, key=repr)
+
+    assert follow() == [(0, 1, "a", None), (0, 2, "b", None), (0, 3, "c", 7)] and follow() == []
+    t.append(frame(spark, [(4, "d", None)], "k long, v string, w int"))
+    assert follow() == [(0, 4, "d", None)]
+
+
+def test_messages_travel(spark, cat):
+    t = cat.create_table("db.t", {"k": "BIGINT", "v": "STRING"}, ["v"])
+    t.commit(CommitMessage.from_json(t.write(frame(spark, [(1, "a")])).to_json()))
+    assert rows(t.scan()) == [(1, "a")]
+
+
+def test_blobs_by_reference(spark, tmp_path):
+    from tidelake.functions import blobs
+
+    (tmp_path / "x").write_bytes(b"0123456789")
+    df = spark.createDataFrame([(1, 2, 3), (2, 5, -1), (3, None, None)], "k int, a long, n long").withColumn("b", blobs.descriptor(F.when(F.col("a").isNotNull(), F.lit(f"file://{tmp_path}/x")), F.col("a"), F.col("n")))
+    assert [r["b"] for r in blobs.fetched(df.select("k", "b"), "b").orderBy("k").collect()] == [b"234", b"56789", None]
+    with pytest.raises(Exception, match="ends before"):
+        blobs.fetched(df.select("k", F.when(F.col("b").isNotNull(), F.col("b").withField("length", F.lit(99).cast("long"))).alias("b")), "b").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections import defaultdict
@@ -19,7 +20,7 @@ from ..functions import predicates as P
 from ..functions.casts import cast
 from ..operators import evolution, merge as M
 from ..plans import ranges as R
-from ..plans.metadata import ADD, APPEND, COMPACT, DELETE, OVERWRITE, DataFile, Entry, Metadata, Snapshot, now
+from ..plans.metadata import ADD, APPEND, COMPACT, DELETE, OVERWRITE, DataFile, Entry, Metadata, Snapshot, now, plain, rich
 from ..plans.planner import ScanPlan, partition_matches, partition_predicate, plan, typed
 from ..plans.schema import POSTPONE, UNAWARE, Options, TableSchema
 from ..plans.store import Store
@@ -42,7 +43,17 @@ class CommitMessage:
     entries: list[Entry] = field(default_factory=list)
     index_added: list[dict] = field(default_factory=list)
     index_deleted: list[str] = field(default_factory=list)
-    check_from: int | None = None
+
+    def to_json(self) -> str:
+        """For a coordinator elsewhere (O-139)."""
+        return json.dumps({"version": 1, "entries": [e.to_json() for e in self.entries], "index_added": plain(self.index_added), "index_deleted": self.index_deleted})
+
+    @classmethod
+    def from_json(cls, text: str) -> CommitMessage:
+        d = json.loads(text)
+        if d["version"] != 1:
+            raise ValueError(f"commit message of version {d['version']}")
+        return cls([Entry.from_json(e) for e in d["entries"]], rich(d["index_added"]), d["index_deleted"])
 
 
 def bucket_id(keys: Iterable[str], n: int) -> Column:
@@ -539,6 +550,20 @@ class Table:
             self.commit(CommitMessage(index_added=[{"type": "dv", "path": path, "files": {paths[f]: n for f, n in counts.items()}}]), user=user, kind=COMPACT)
         return sum(counts.values())
 
+    # indexes
+
+    def index(self, column: str, user: str = "indexer") -> Snapshot:
+        """Builds the table-level index of a column anew (O-89a)."""
+        from ..plans import indexes
+
+        return indexes.build_global(self, column, user)
+
+    def find(self, where: P.Predicate):
+        """The row ids that may match by table-level indexes, for scan(index=...)."""
+        from ..plans import indexes
+
+        return indexes.evaluate(self, where)
+
     # upkeep
 
     def expire(self, retain_min: int | None = None, retain_max: int | None = None, older_than: float | None = None, limit: int | None = None) -> int:
