@@ -20,7 +20,12 @@ def publish(uri: str, chunks) -> None:
     with fs.open_output_stream(draft) as out:
         for c in chunks:
             out.write(c)
-    fs.move(draft, path)
+    try:
+        fs.move(draft, path)
+    except OSError:  # file systems that don't replace: another attempt of the task was first, with the same bytes
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(draft)
 
 
 def read(uri: str, at: int = 0, size: int | None = None) -> bytes:

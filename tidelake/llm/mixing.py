@@ -208,11 +208,13 @@ def mixed(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", tex
     _, drawn, _ = mix(df, weights, ident, text, source, shards, seed, most)
     part = F.struct(F.col("from_word").cast("int").alias("at"), F.col("n_words").cast("int").alias("n"))
     taken = drawn.groupBy("_hash", "_start", "_size", "pass").agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.sum("n_words").alias("_taken"))  # a document's blocks
-    docs = df.withColumn("_hash", row_hash(ident, text, source, seed)).dropDuplicates(["_hash"])
-    own = words(F.col(text))
-    cut = F.array_join(F.flatten(F.transform(F.array(own), lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["at"] + 1, p["n"]))))), " ")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))  # whatever df's columns are called
+    docs = df.select(row_hash(ident, text, source, seed).alias("_hash"), whole.alias("_row")).dropDuplicates(["_hash"])
+    old = F.col(f"_row.`{text}`")
+    cut = F.array_join(F.flatten(F.transform(F.array(words(old)), lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["at"] + 1, p["n"]))))), " ")
     out = docs.join(taken.select("_hash", "_size", "_parts", "_taken"), "_hash")
-    return out.withColumn(text, F.when(F.col("_taken") == F.col("_size"), F.col(text)).otherwise(cut)).select(*df.columns)
+    new = F.when(F.col("_taken") == F.col("_size"), old).otherwise(cut)
+    return out.select(*((new if c == text else F.col(f"_row.`{c}`")).alias(c) for c in df.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ CONTEXT = {
 NEAR = 40
 #: Scores: for a match, a checksum that holds, and a word nearby; added kinds count from ENOUGH on, base kinds always.
 MATCHED, CHECKED, NEARBY, ENOUGH = 0.4, 0.4, 0.3, 0.7
+WHOLE, FOUND = "__whole_text__", "__found_spans__"
 SPAN = "array<struct<kind:string,start:long,end:long,hit:string>>"
 
 
@@ -103,19 +104,19 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(HINTS[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
-def find(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _spans: an array of (kind, start, end, score), by kind as listed in BASE and ADDED, then start; end exclusive.
+def find(df: DataFrame, text: str = "text", name: str = "_spans") -> DataFrame:
+    """Adds _spans (or another name): an array of (kind, start, end, score), by kind as listed in BASE and ADDED, then start; end exclusive.
 
     A null text counts as empty and has no spans. Rows are taken one by one, so nulls, ties and repeated rows elsewhere
-    don't matter; a column of df that is named _text, _found or _spans is replaced.
+    don't matter; a column of df that is named _spans is replaced.
     """
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("_text")
+    df = df.withColumn(WHOLE, F.coalesce(F.col(text), F.lit("")))
+    t = F.col(WHOLE)
     kept = []
     for kind in BASE + ADDED:
         scored = F.transform(F.filter(matches(t, kind), _held(kind)), _scored(t, kind))
         kept.append(scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= ENOUGH))
-    return df.withColumn("_spans", F.concat(*kept))
+    return df.withColumn(name, F.concat(*kept)).drop(WHOLE)
 
 
 def _held(kind: str):
@@ -139,8 +140,8 @@ def _listed(spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Puts [EMAIL], [IP] and so on in the place of every span; of spans that overlap, the first one's name stays. A null
     text stays null."""
-    out = find(df, text)
-    t = F.col("_text")
+    out = find(df, text, FOUND)
+    t = F.coalesce(F.col(text), F.lit(""))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -149,9 +150,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         pieces = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, name)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), pieces.alias("out"))
 
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(FOUND, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     done = F.aggregate(ordered, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), t.substr((acc["at"] + 1).cast("int"), F.length(t))))
-    return out.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(F.col(text))).drop("_text", "_spans")
+    return out.withColumn(text, F.when(F.size(FOUND) > 0, done).otherwise(F.col(text))).drop(FOUND)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
