@@ -416,13 +416,13 @@ def scan_limit(spark, sf_dir):
     return orders_table(spark, sf_dir).scan(limit=7).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT {OUT} FROM orders WHERE o_orderkey <= 10")
 def expire_and_clean(spark, sf_dir):
     """O-135, O-136: old snapshots and unused files go, the latest rows stay."""
     t = orders_table(spark, sf_dir, 4)
-    t.overwrite(t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).limit(10)))
+    t.overwrite(t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).filter("o_orderkey <= 10")))
     t.expire(retain_min=1, older_than=2**62)
-    t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).limit(5))  # never committed
+    t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).filter("o_orderkey <= 5"))  # never committed
     t.remove_orphans(older_than=2**62)
     return t.scan()
 
