@@ -230,6 +230,9 @@ def test_row_ids_and_partial_columns(spark, cat):
     t.commit(t.write(frame(spark, [(ids[0], 7)], "_ROW_ID long, w int"), columns=["w"]))
     assert rows(t.scan(["k", "v", "w"])) == sorted([(0, "b", 7), (1, "a", 1), (2, "a", 1), (10, "a", 1), (11, None, 3), (12, "a", 1)], key=repr)
     assert rows(t.scan(["k"], row_ranges=[(1, 1), (4, 9)])) == sorted([(k,) for k, i in ids.items() if i in (1, 4, 5)], key=repr)
+    for w in (p.eq("k", 0), p.eq("w", 7), p.eq("w", 1), p.is_null("v"), p.ge("k", 11), p.lt("k", 2) & p.eq("v", "b")):
+        assert rows(t.scan(["k", "v", "w"], where=w)) == rows(t.scan(["k", "v", "w"]).filter(w.column()))
+    assert 2 <= len(t.plan(where=p.ge("k", 10)).entries) < t.plan().considered == len(t.plan(where=p.eq("w", 99)).entries)
     with pytest.raises(ValueError):
         t.write(frame(spark, [(1, "x")], "_ROW_ID long, nope string"), columns=["nope"])
 
