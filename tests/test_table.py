@@ -109,6 +109,17 @@ def test_value_conditions_wait_for_the_merge(spark, cat):
     assert rows(t.scan(bucket=0).union(t.scan(bucket=1))) == [(1, "new"), (2, "old")]
 
 
+def test_conditions_and_columns_reach_the_scan(spark, cat):
+    t = cat.create_table("db.t", {"k": "BIGINT", "v": "STRING", "w": "STRING"}, [], ["k"], {"bucket": "1"})
+    t.append(frame(spark, [(1, "a", "b")], "k long, v string, w string"))
+    plan = t.scan(["k", "v"], where=p.ge("k", 1) & p.isin("v", ["a", "c"]))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,1)" in plan and "In(v" not in plan.split("PushedFilters")[1].split("ReadSchema")[0] and "w:string" not in plan.split("ReadSchema")[1]
+    u = cat.create_table("db.u", {"k": "BIGINT", "v": "STRING"})
+    u.append(frame(spark, [(1, "a")]))
+    plan = u.scan(["v"], where=p.eq("k", 1))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,1)" in plan
+
+
 def test_bucket_column_matches_the_layout(spark, cat):
     t = cat.create_table("db.t", {"k": "BIGINT", "v": "STRING"}, options={"bucket": "3", "bucket-key": "k"})
     t.append(spark.range(50).selectExpr("id AS k", "'x' AS v"))
@@ -387,3 +398,16 @@ def test_blobs_by_reference(spark, tmp_path):
     assert [r["b"] for r in blobs.fetched(df.select("k", "b"), "b").orderBy("k").collect()] == [b"234", b"56789", None]
     with pytest.raises(Exception, match="ends before"):
         blobs.fetched(df.select("k", F.when(F.col("b").isNotNull(), F.col("b").withField("length", F.lit(99).cast("long"))).alias("b")), "b").collect()
+
+
+@pytest.mark.parametrize("options", [{"ignore-delete": "true"}, {}, {"partial-update.remove-record-on-sequence-group": "ga"}])
+def test_any_columns_of_sequence_groups_read_alike(spark, cat, options):
+    rng = random.Random(3)
+    t = cat.create_table("db.t", {"k": "BIGINT", "ga": "INT", "a": "INT", "gb": "INT", "b": "INT", "c": "STRING"}, [], ["k"],
+                         {"bucket": "1", "merge-engine": "partial-update", "fields.ga.sequence-group": "a", "fields.gb.sequence-group": "b", "fields.b.aggregate-function": "sum", **options})
+    some = lambda *xs: rng.choice([None, *xs])
+    for _ in range(2):
+        t.append(frame(spark, [(rng.randrange(6), some(1, 2, 3), some(5, 6), some(1, 2, 3), some(7, 8), some("x", "y"), rng.choice([0, 0, 2, 3])) for _ in range(30)], "k long, ga int, a int, gb int, b int, c string, _VALUE_KIND int"))
+    full = t.scan()
+    for cols in (["k", "a"], ["b"], ["c", "k"], ["gb", "a"], ["k"]):
+        assert rows(t.scan(cols)) == rows(full.select(cols))

@@ -160,9 +160,10 @@ class Table:
         wanted = columns or schema.names
         self._check_columns(wanted, schema, opts)
         extra = [c for c in (ROW_ID, M.SEQUENCE) if c in wanted or c == ROW_ID and (row_ranges is not None or index is not None)]
-        df = self.read(p, opts, extra, snapshot)
+        needed = None if where is not None and of_file is None else {*wanted, *P.fields(of_file), *schema.partition_keys, *([vector[0]] if vector else [])}
+        df = self.read(p, opts, extra, snapshot, needed)
         if opts.fallback_branch and self.branch == "main":
-            df = self._with_fallback(df, p, opts, where, partitions, bucket, extra)
+            df = self._with_fallback(df, p, opts, where, partitions, bucket, extra, needed)
         spec = partition_predicate(partitions, schema, opts.partition_default)
         for cond in (spec, of_file):
             if cond is not None:
@@ -188,7 +189,7 @@ class Table:
         if stray := [c for c in wanted if c not in known]:
             raise ValueError(f"no columns {stray}")
 
-    def _with_fallback(self, df: DataFrame, p: ScanPlan, opts: Options, where, partitions, bucket, extra) -> DataFrame:
+    def _with_fallback(self, df: DataFrame, p: ScanPlan, opts: Options, where, partitions, bucket, extra, needed) -> DataFrame:
         """Partitions that the main branch doesn't have come from the fallback branch (O-29)."""
         other = Table(self.spark, self.path, opts.fallback_branch)
         snapshot = other.meta.latest()
@@ -198,27 +199,33 @@ class Table:
         theirs = other.schema
         more = other._plan(snapshot, theirs, other.options(schema=theirs), where if isinstance(where, P.Predicate) else None, partitions, bucket)
         more.raw, more.merged = ([e for e in es if e.partition not in mine] for es in (more.raw, more.merged))
-        return df.unionByName(other.read(more, other.options(schema=theirs), extra, snapshot), allowMissingColumns=True).select(*df.columns)
+        return df.unionByName(other.read(more, other.options(schema=theirs), extra, snapshot, needed), allowMissingColumns=True).select(*df.columns)
 
-    def read(self, p: ScanPlan, opts: Options, extra: list[str] | None = None, snapshot: Snapshot | None = None) -> DataFrame:
-        """The rows of a plan's files, versions merged."""
+    def read(self, p: ScanPlan, opts: Options, extra: list[str] | None = None, snapshot: Snapshot | None = None, needed: set[str] | None = None) -> DataFrame:
+        """The rows of a plan's files, versions merged; with `needed`, only these columns, so that the others aren't read."""
         schema = p.schema
         if opts.data_evolution and p.snapshot is not None:
             return evolution.stitched(self, p.entries, schema, [*schema.names, *(extra or [])])
+        names = [n for n in schema.names if needed is None or n in needed]
         parts = []
         if p.raw or not p.merged:
             raw = self.records(p.raw, schema, hidden=False, extra=extra or [], snapshot=snapshot)
-            parts.append(raw)
+            parts.append(raw.select(*(c for c in raw.columns if c not in schema.names), *names))
         if p.merged:
-            parts.append(self.merged(p.merged, schema, opts, snapshot))
+            parts.append(self.merged(p.merged, schema, opts, snapshot, names=names))
         return reduce(lambda a, b: a.unionByName(b), parts)
 
-    def merged(self, entries: list[Entry], schema: TableSchema, opts: Options, snapshot: Snapshot | None = None, keep_deletes: bool = False) -> DataFrame:
+    def merged(self, entries: list[Entry], schema: TableSchema, opts: Options, snapshot: Snapshot | None = None, keep_deletes: bool = False, names: list[str] | None = None) -> DataFrame:
+        names = schema.names if names is None else names
         spec = opts.merge_spec(list(schema.primary_keys))
         spec.insert_only = all(e.file.deletes == 0 for e in entries)
+        # what the merge needs besides: sequence fields, and those of the groups of these columns or that may wipe a row
+        spec.groups = {g: [c for c in cols if c in names] for g, cols in spec.groups.items() if {*g, *cols} & set(names) or set(g) & set(spec.remove_on_group)}
+        used = {*names, *spec.keys, *spec.sequence_fields, *(f for g in spec.groups for f in g)}
         rows = self.records(entries, schema, hidden=True, with_level=spec.lookup, snapshot=snapshot)
+        rows = rows.select(*(c for c in rows.columns if c in used or c not in schema.names))
         out = M.merge(rows, spec, keep_deletes)
-        return out.select(*([M.KIND] if keep_deletes else []), *schema.names)
+        return out.select(*([M.KIND] if keep_deletes else []), *names)
 
     def records(self, entries: list[Entry], schema: TableSchema, hidden: bool, extra: list[str] | None = None, with_level: bool = False, snapshot: Snapshot | None = None) -> DataFrame:
         """Files as rows under the current schema: columns by field id, casts, nulls for columns that a file hasn't (O-38).
