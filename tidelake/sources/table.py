@@ -220,7 +220,8 @@ class Table:
         spec = opts.merge_spec(list(schema.primary_keys))
         spec.insert_only = all(e.file.deletes == 0 for e in entries)
         # what the merge needs besides: sequence fields, and those of the groups of these columns or that may wipe a row
-        spec.groups = {g: [c for c in cols if c in names] for g, cols in spec.groups.items() if {*g, *cols} & set(names) or set(g) & set(spec.remove_on_group)}
+        kept = {g: [c for c in cols if c in names] for g, cols in spec.groups.items() if {*g, *cols} & set(names) or set(g) & set(spec.remove_on_group)}
+        spec.groups = kept or {g: [] for g in list(spec.groups)[:1]}  # that there are groups decides what retractions do
         used = {*names, *spec.keys, *spec.sequence_fields, *(f for g in spec.groups for f in g)}
         rows = self.records(entries, schema, hidden=True, with_level=spec.lookup, snapshot=snapshot)
         rows = rows.select(*(c for c in rows.columns if c in used or c not in schema.names))
