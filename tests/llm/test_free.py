@@ -126,13 +126,17 @@ def test_op4(spark, library, docs):
         at += len(ids)
 
 
-def test_token_files_of_odd_rows(spark, library, odd, none):
+def test_token_files_of_odd_rows(spark, library, odd, none, monkeypatch):
+    monkeypatch.setattr(tokenfile, "TOGETHER", 1)
+    monkeypatch.setattr(tokenfile, "MOST_RANGES", 2)
     files = tokenfile.write(odd, work_dir(spark, "t"), ENCODER, 50257, per_file=5000)
-    out = tokenfile.documents(spark, files).collect()
+    out = tokenfile.documents(files).collect()
     texts = odd.select("doc_id", "text").collect()
     want = collections.Counter((r["doc_id"], len(library[BYTE_BPE].encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in texts)
-    assert len(files) > 1 and collections.Counter((r["doc_id"], r["n_tokens"]) for r in out) == want
-    assert tokenfile.documents(spark, tokenfile.write(none, work_dir(spark, "t"), ENCODER, 50257)).count() == 0
+    starts = sorted((r["start"], r["n_tokens"]) for r in out)
+    assert [a for a, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))]
+    assert files.filter("part > 0").count() and files.filter("range > 0").count() and collections.Counter((r["doc_id"], r["n_tokens"]) for r in out) == want
+    assert tokenfile.documents(tokenfile.write(none, work_dir(spark, "t"), ENCODER, 50257)).count() == 0
 
 
 # token counts

@@ -20,15 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored, table, work_dir
 from .files import byte_level, publish, read, width
 
-MAGIC = b"TLHUFF1\n"
+MAGIC, NO_IDENT = b"TLHUFF1\n", -(1 << 63)
 #: Longest code; ids in a block; ids in a file, about.
 LIMIT, BLOCK, PER_FILE = 16, 512, 16_000_000
-#: Files that the driver lists: an address and three numbers each.
-MOST_FILES = 1_000_000
+#: Ranges of idents that files are dealt by; a range's task writes as many files as it needs, one after the other.
+MOST_RANGES = 10_000
+#: Documents after which a file may be closed.
+TOGETHER = 256
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -178,23 +181,21 @@ def id_counts(rows: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int = 0, ident: str = "doc_id", text: str = "text", per_file: int = PER_FILE) -> list[dict]:
-    """Writes all texts' ids to files in ascending order of ident, each text followed by the end id. Returns a row for each
-    file: number, uri, docs, ids. A null text counts as empty and holds the end id alone; rows without an ident come first,
-    with the least long as ident; rows with one ident share a file, in no fixed order. No rows, no files."""
+def write(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int = 0, ident: str = "doc_id", text: str = "text", per_file: int = PER_FILE) -> DataFrame:
+    """Writes all texts' ids to files in ascending order of ident, each text followed by the end id. Returns the list of files
+    as a table: range, part, uri, docs, ids, first (ids in all files before). A null text counts as empty and holds the end
+    id alone; rows without an ident come first; rows with one ident stand together, in no fixed order. No rows, no files.
+
+    Documents are dealt by ranges of ident (approximate quantiles), sorted within each, and a file is closed once it holds
+    per_file ids, so that a task holds no more than that."""
     rows = ids_table(df, encoder, vocabulary, end, ident, text)
-    least = -(1 << 63)
-    key = F.coalesce("_id", F.lit(least))
-    total, n = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
-    if not n:
-        return []
-    files = max(1, -(-total // per_file))
-    if files > MOST_FILES:
-        raise ValueError(f"more than {MOST_FILES} files")
+    key = F.coalesce("_id", F.lit(NO_IDENT))
+    total = rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     lengths = code_lengths(id_counts(rows, vocabulary))
-    shares = [i / files for i in range(1, files)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 100 * files)).first()[0])) if shares else []
-    kind, n_files = width(vocabulary), len(bounds) + 1
+    ranges = min(MOST_RANGES, max(1, -(-total // per_file)))
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 100 * ranges)).first()[0])) if shares else []
+    kind, step = width(vocabulary), TOGETHER
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, at = canonical(lengths), np.array(bounds, np.int64)
@@ -202,53 +203,57 @@ def write(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int
             for i in range(0, len(b), 512):
                 p = b.slice(i, 512)
                 pieces, marks = packed(np.frombuffer(b"".join(p.column("_ids").to_pylist()), kind), p.column("_n").to_numpy(), lengths, codes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(at, p.column("_id").to_numpy(), "left"), pa.int32()), p.column("_id"), p.column("_n"), pa.array(pieces, pa.binary()), pa.array(marks, pa.binary())], names=["_file", "_id", "_n", "_bits", "_marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(at, p.column("_id").to_numpy(), "left"), pa.int32()), p.column("_id"), p.column("_n"), pa.array(pieces, pa.binary()), pa.array(marks, pa.binary())], names=["range", "_id", "_n", "_bits", "_marks"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        now, part, size = -1, 0, 0
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            number = t.column("_file")[0].as_py()
-            uri = f"{folder}/tokens-{number:07d}.tlh"
-            sizes = t.column("_n").to_numpy()
+            uri, sizes = f"{folder}/tokens-{now:05d}-{part:05d}.tlh", t.column("_n").to_numpy()
             write_file(uri, t.column("_id").to_numpy(), sizes, t.column("_bits").to_pylist(), t.column("_marks").to_pylist(), lengths)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([uri]), pa.array([t.num_rows], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], names=["number", "uri", "docs", "ids"])
-
-        for b in batches:
-            own = b.column("_file").to_numpy()
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if a < z:
-                    if held and held[0].column("_file")[0].as_py() != own[a]:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([part], pa.int32()), pa.array([uri]), pa.array([t.num_rows], pa.int64()), pa.array([size], pa.int64())], names=["range", "part", "uri", "docs", "ids"])
+
+        for whole in batches:
+            for i in range(0, len(whole), step):
+                b = whole.slice(i, step)
+                own = b.column("range").to_numpy()
+                cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)]
+                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                    if held and (now != own[a] or size >= per_file):
                         yield done()
-                        held = []
+                        part = part + 1 if now == own[a] else 0
+                        held, size = [], 0
+                    now = int(own[a])
                     held.append(b.slice(a, z - a))
+                    size += int(held[-1].column("_n").to_numpy().sum())
         if held:
             yield done()
 
-    coded = rows.select(key.alias("_id"), "_n", "_ids").mapInArrow(pack, "_file int, _id long, _n long, _bits binary, _marks binary")
-    dealt = coded.repartitionById(n_files, F.col("_file")).sortWithinPartitions("_file", "_id")
-    return [r.asDict() for r in dealt.mapInArrow(save, "number int, uri string, docs long, ids long").orderBy("number").collect()]  # a row for each file
+    coded = rows.select(key.alias("_id"), "_n", "_ids").mapInArrow(pack, "range int, _id long, _n long, _bits binary, _marks binary")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "_id")
+    files = stored(dealt.mapInArrow(save, "range int, part int, uri string, docs long, ids long"), "token-files")
+    # ids before a file: those of the ranges before (MOST_RANGES rows), and of its range's files before
+    ahead = files.groupBy("range").agg(F.sum("ids").alias("_ids")).select("range", (F.sum("_ids").over(Window.orderBy("range")) - F.col("_ids")).alias("_ahead"))
+    own = F.sum("ids").over(Window.partitionBy("range").orderBy("part")) - F.col("ids")
+    return files.withColumn("_own", own).join(ahead, "range").withColumn("first", F.col("_own") + F.col("_ahead")).drop("_own", "_ahead")
 
 
-def documents(spark: SparkSession, files: list[dict], ident: str = "doc_id") -> DataFrame:
-    """Reads files back: (ident, start, n_tokens, ids_crc32) of each document, one task for each file."""
-    schema = f"{ident} long, start long, n_tokens long, ids_crc32 long"
-    uris, firsts = [f["uri"] for f in files], np.concatenate([[0], np.cumsum([f["ids"] for f in files])]).astype(np.int64)
-    if not files:
-        return spark.createDataFrame([], schema)
+def documents(files: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """Reads files back: (ident, start, n_tokens, ids_crc32) of each document."""
+    files = stored(files.select("uri", "first"), "token-files")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in b.column(0).to_pylist():
-                idents, sizes, ids = read_file(uris[i])
+            for uri, first in zip(b.column("uri").to_pylist(), b.column("first").to_pylist(), strict=True):
+                idents, sizes, ids = read_file(uri)
                 at, raw = np.concatenate([[0], np.cumsum(sizes)]), memoryview(ids.astype("<u4").view(np.uint8))
                 crc = [zlib.crc32(raw[4 * a:4 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                none = idents == -(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(idents, pa.int64(), mask=none), pa.array(firsts[i] + at[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=[ident, "start", "n_tokens", "ids_crc32"])
+                none = idents == NO_IDENT
+                yield pa.RecordBatch.from_arrays([pa.array(idents, pa.int64(), mask=none), pa.array(first + at[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=[ident, "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(files), 1, len(files)).mapInArrow(decode, schema)
+    return files.coalesce(1).repartition(max(1, min(files.count(), MOST_RANGES))).mapInArrow(decode, f"{ident} long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,4 +262,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     encoder = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256})
     files = write(table(spark, sf_dir, "documents"), work_dir(spark, "tokens"), encoder, 50257)
-    return documents(spark, files)
+    return documents(files)
