@@ -20,7 +20,7 @@ from .common import stored, table, work_dir
 from .files import byte_level, opened, publish, read, width
 
 #: Ids in a block that is searched at once; ids that a writing task holds before it closes a file.
-BLOCK, PER_FILE = 2_000_000, 16_000_000
+BLOCK, PER_FILE = 2_000_000, 64_000_000
 
 
 def write_flat(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,9 +71,11 @@ def scan(spark: SparkSession, folder: str, vocabulary: int, end: int, block: int
     its first id is, and how many ids it has with its end id. Ids after the last end id are a document that isn't closed.
     Empty files have no documents."""
     kind = width(vocabulary)
-    blocks = [(name, at, min(block, n // kind.itemsize - at)) for name, n in listed(folder) for at in range(0, n // kind.itemsize, block)]
-    schema = "file string, at long, size long"
-    todo = spark.createDataFrame(blocks, schema).repartition(max(1, min(len(blocks), 10_000))) if blocks else spark.createDataFrame([], schema)
+    files = [(name, n // kind.itemsize) for name, n in listed(folder) if n >= kind.itemsize]
+    n_blocks = sum(-(-n // block) for _, n in files)
+    rows = spark.createDataFrame(files, "file string, ids long")  # a row for each file
+    todo = rows.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ids") - 1, F.lit(block).cast("long"))).alias("at"), "ids")
+    todo = todo.select("file", "at", F.least(F.lit(block), F.col("ids") - F.col("at")).cast("long").alias("size")).coalesce(1).repartition(max(1, min(n_blocks, 10_000)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
