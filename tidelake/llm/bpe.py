@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words that are remembered, and the longest of them in characters; bytes that are merged at once, in lookaheads.
-REMEMBERED, LONGEST, WINDOW = 300_000, 64, 4
+REMEMBERED, LONGEST, WINDOW = 200_000, 64, 4
 NONE = 1 << 62
 #: Unicode's White_Space, which the tokenizer's \s stands for; Python's own notion has four more.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))

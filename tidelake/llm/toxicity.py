@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bits of the hash, factors, prefixes in characters; labelled rows that a fit uses at most (those with the least hash).
-BITS, FACTORS, PREFIXES, MOST_LABELLED = 17, 8, (4, 5), 16_000
+BITS, FACTORS, PREFIXES, MOST_LABELLED = 17, 8, (4, 5), 10_000
 #: Texts that are scored together, words whose parts are remembered at once.
-TOGETHER, REMEMBERED = 256, 400_000
+TOGETHER, REMEMBERED = 256, 150_000
 MARKS = ".,;:!?\"'()[]{}*#$%&<>|_-–—«»¡¿…"
 
 
