@@ -110,7 +110,6 @@ def _rows(texts: list[str | None], known: dict[str, tuple]) -> tuple[np.ndarray,
 
 def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """Fits a machine to the labelled rows outside the held-out fifth, at most MOST_LABELLED of them."""
-    spark = docs.sparkSession
     own = labels.select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     # a bounded broadcast: MOST_LABELLED rows
     own = F.broadcast(own.orderBy(F.xxhash64("_id"), "_id", "_y").limit(MOST_LABELLED).groupBy("_id").agg(F.max("_y").alias("_y")))
@@ -126,7 +125,6 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
 
     got = sorted(map(tuple, told.mapInArrow(read, "_id long, _y int, _terms binary").limit(MOST_LABELLED).collect()), key=lambda r: (r[0], bytes(r[2])))
     rows = [np.frombuffer(r[2], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got]
-    del spark
     return fit(rows, np.array([r[1] for r in got], np.float64))
 
 
