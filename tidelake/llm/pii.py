@@ -21,10 +21,20 @@ PATTERNS = {
     # maximal runs of digits and single separators, of 16 to 19 digits; others would be dropped anyway
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])",
+    # only the first four characters are taken, so that nothing behind them is lost; group 1 is the longest run of groups of four
+    # and a shorter last one that ends at a word's end, 35 characters at most
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
     "amex": r"(?<![0-9])(?<![0-9][\x20-])3[47](?:[\x20-]?[0-9]){13}+(?![\x20-]?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Lengths of IBANs by country; those of countries not listed have 15 to 34 characters.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+OF_A_LENGTH = "|".join(f"(?:{c.replace(' ', '|')}).{{{n - 2}}}" for n, c in LENGTHS.items())
+IBAN = rf"^(?:{OF_A_LENGTH}|(?!{'|'.join(LENGTHS.values()).replace(' ', '|')}).{{15,34}})$"
 #: Cheap tests that a text with a match passes.
 HINTS = {
     "email": lambda t: t.contains("@"),
@@ -84,12 +94,37 @@ def _holds(kind: str, hit: Column) -> Column:
         return F.length(_digits(hit)).between(8, 15)
     if kind == "iban":
         bare = F.regexp_replace(hit, " ", "")
-        return F.length(bare).between(15, 34) & mod97(bare)
+        return bare.rlike(IBAN) & mod97(bare)
     return F.lit(True)
 
 
+def ibans(text: Column) -> Column:
+    """All leftmost IBANs that don't overlap, with offsets in code points. Capitals and digits after a number look like more of
+    it, so every part of a run that ends at a word's end is checked; of several that hold the longest counts."""
+    pattern = PATTERNS["iban"]
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda gap, run: F.struct(gap.alias("gap"), run.alias("run")))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("end"), F.array().cast(SPAN).alias("out"))
+
+    def longest(run: Column) -> Column:
+        words = F.split(run, " ")
+        parts = F.transform(words, lambda _, i: F.array_join(F.slice(words, F.lit(1), i + 1), " "))
+        return F.try_element_at(F.filter(parts, lambda part: _holds("iban", part)), F.lit(-1))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        span = F.struct(F.lit("iban").alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("hit"))
+        new = x["hit"].isNotNull() & (start >= acc["end"])
+        return F.struct((start + 4).cast("long").alias("at"), F.when(new, end).otherwise(acc["end"]).cast("long").alias("end"), F.when(new, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    checked = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), longest(x["run"]).alias("hit")))
+    return F.when(HINTS["iban"](text), F.aggregate(checked, zero, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+
+
 def matches(text: Column, kind: str) -> Column:
-    """All leftmost matches of a kind that don't overlap, with offsets in code points, before any check."""
+    """All leftmost matches of a kind that don't overlap, with offsets in code points, before any check (IBANs: after it)."""
+    if kind == "iban":
+        return ibans(text)
     pattern = PATTERNS[kind]
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
