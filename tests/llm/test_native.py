@@ -131,6 +131,28 @@ def test_outliers_are_rejected_and_the_rest_stays(spark):
     assert not any(kept[i] for i in range(0, 600, 5)) and sum(kept[i] for i in range(600) if i % 5) == 480
 
 
+def test_an_outlier_in_one_statistic_is_rejected_and_clean_texts_stay(spark):
+    rng = random.Random(6)
+    word = lambda longer=0: "".join(rng.choice("aeioustrn") for _ in range(rng.randrange(3 + longer, 9 + longer)))
+    some = lambda n, longer=0: [word(longer) for _ in range(n)]
+
+    def repeats():  # 26 of 104 words
+        part = some(13)
+        return " ".join(part + some(78) + part)
+
+    def dup_lines():  # 8 lines of 24, five words each, no window of 8 words twice
+        lines = [" ".join(some(5)) for _ in range(16)]
+        return "\n".join(lines + lines[7::-1])
+
+    odd = {"mean_word": lambda: " ".join(some(120, 3)), "symbols": lambda: " ".join(w + "#" * (i % 6 == 0) for i, w in enumerate(some(120))), "dup_lines": dup_lines, "repeats": repeats}
+    rows = [(k, " ".join(some(rng.randrange(60, 200))), "en", f"s{k % 2}") for k in range(2000)]
+    rows += [(2000 + 10 * i + j, make(), "en", f"s{j % 2}") for i, make in enumerate(odd.values()) for j in range(5)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert {name: sum(got[2000 + 10 * i + j]["kept"] for j in range(5)) for i, name in enumerate(odd)} == dict.fromkeys(odd, 0)
+    assert sum(not got[k]["kept"] for k in range(2000)) <= 4
+
+
 # sharding
 
 

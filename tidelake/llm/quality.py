@@ -22,12 +22,12 @@ SYMBOLS, BLANK = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Words in a window that counts as a repeat; limits of the base rules.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Statistics, and for each the least standard deviation that counts: most texts have no symbols, so the core's may be 0.
-STATS = {"mean_word": 0.08, "symbols": 0.25, "dup_lines": 0.08, "repeats": 0.08}
+STATS = {"mean_word": 0.06, "symbols": 0.25, "dup_lines": 0.04, "repeats": 0.08}
 #: Share of a group in the core; rows that a group needs for its own estimate; concentration steps; bins per doubling.
 CORE, OWN_ROWS, STEPS, BINS = 0.75, 100, 4, 16
 #: Chi-square with 4 degrees of freedom: the factor that makes the covariance of the core (0.75) consistent, and the
-#: squared distance beyond which a text is rejected (a chance of 1e-9).
-CONSISTENCY, CUT = 1.486, 47.0
+#: squared distance beyond which a text is rejected (a chance of 0.001).
+CONSISTENCY, CUT = 1.486, 18.47
 P = len(STATS)
 PAIRS = list(combinations_with_replacement(range(P), 2))
 
@@ -108,7 +108,8 @@ def estimates(rows: DataFrame) -> DataFrame:
         near = bins.withColumn("_all", F.sum("_n").over(all_)).withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).filter(F.col("_before") < CORE * F.col("_all"))
         total = near.groupBy("_group").agg(*(F.sum(c).alias(c) for c in bins.columns[2:]))
         mean = {i: F.col(f"_s{i}") / F.col("_n") for i in range(P)}
-        cov = {(i, j): CONSISTENCY * (F.col(f"_t{i}{j}") / F.col("_n") - mean[i] * mean[j]) + (floors[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+        cov = {(i, j): CONSISTENCY * (F.col(f"_t{i}{j}") / F.col("_n") - mean[i] * mean[j]) for i, j in PAIRS}
+        cov |= {(i, i): F.greatest(cov[i, i], F.lit(floors[i] ** 2)) for i in range(P)}
         flat = total.select("_group", *(mean[i].alias(f"_m{i}") for i in range(P)), *(cov[i, j].alias(f"_c{i}{j}") for i, j in PAIRS))
         low = cholesky(lambda i, j: F.col(f"_c{min(i, j)}{max(i, j)}"))
         now = stored(flat.select("_group", *(f"_m{i}" for i in range(P)), *(low[i, j].alias(f"_l{i}{j}") for j, i in PAIRS)), "mcd")
