@@ -269,6 +269,15 @@ def test_mix(spark, odd, none):
     assert mixing.mixed(odd.withColumn("_hash", F.lit(1)).withColumn("_size", F.lit(2))).columns == [*odd.columns, "_hash", "_size"] and mixing.mixed(odd).filter("_id <> 7").count() == 0
 
 
+def test_op2_keeps_repeated_rows_without_words(spark, odd, tmp_path):
+    blank = odd.filter("trim(coalesce(text, '')) = '' or doc_id in (3, 4)")
+    rows = odd.unionByName(blank).unionByName(blank).unionByName(blank.withColumn("doc_id", F.lit(None).cast("long")))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op2(spark, str(tmp_path)).collect()
+    assert blank.count() >= 3 and len(out) == rows.count()
+    assert sum(r["size"] == 0 for r in out) == 4 * blank.count() and all(r["taken"] == 0 for r in out if r["size"] == 0)
+
+
 def test_mixed_texts_are_what_was_drawn(spark):
     rows = [(i, " ".join(f"w{i}_{j}" for j in range(400)), "s" + str(i % 3)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -220,7 +220,10 @@ def mixed(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", tex
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     laid, drawn, planned = mix(table(spark, sf_dir, "documents"))
-    both = laid.select("_id", "_source", "_size", "_start", F.lit(0).cast("long").alias("n_words")).unionByName(drawn.select("_id", "_source", "_size", "_start", "n_words"))
+    nothing = F.lit(0).cast("long")
+    both = laid.filter("_size > 0").select("_id", "_source", "_size", "_start", nothing.alias("n_words")).unionByName(drawn.select("_id", "_source", "_size", "_start", "n_words"))
     taken = both.groupBy("_id", "_source", "_size", "_start").agg(F.sum("n_words").alias("taken"))
+    # rows without words may share all four columns, and nothing is ever taken of them
+    taken = taken.unionByName(laid.filter("_size = 0").select("_id", "_source", "_size", "_start", nothing.alias("taken")))
     out = taken.join(F.broadcast(planned), F.col("_source").eqNullSafe(F.col("source")))
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
