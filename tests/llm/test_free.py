@@ -317,6 +317,49 @@ def test_blocks_find_links_across_them(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 0.85)
 
 
+def reachable(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_stars_chains_and_webs(spark, seed):
+    rng = random.Random(seed)
+    name = rng.sample(range(10_000), 2000)
+    edges = [(name[0], name[i]) for i in range(1, 200)] + [(name[i], name[i + 1]) for i in range(200, 290)] + [(i, i + 1) for i in range(20_000, 20_040)]
+    edges += [(name[rng.randrange(300, 1000)], name[rng.randrange(300, 1000)]) for _ in range(seed * 250)] + [(7, 7), (name[400], name[400])] + edges[:50]
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["label"] for r in got} == reachable(edges) and len(got) == len({x for e in edges for x in e})
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_a_hot_group_keeps_every_link(spark, monkeypatch, wide):
+    """Thousands of texts of one template: some link with the first, some with others only, many with none."""
+    monkeypatch.setattr(neardup, "FEW", neardup.FEW if wide else 0)
+    rng = random.Random(11)
+    hot = [f"h{i}" for i in range(60)]
+    n = 5000 if wide else 700
+    rows = [(i, " ".join(edited(rng, hot, rng.choice([0.0, 0.01, 0.03, 0.06, 0.1])))) for i in range(n)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold=0.85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 0.85)
+
+
+def test_an_ident_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (5, c), (5, c)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4)]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = neardup.near_duplicates(odd).collect()
     by = collections.defaultdict(list)

@@ -2,17 +2,19 @@
 
 Every text's shingle set gets a HyperMinHash sketch: for each of 384 hash functions the least hash, kept as its leading
 zeros and ten bits after the leading one. Bands of registers propose candidates, the collision-corrected estimate of the
-Jaccard similarity drops those that are far off (over four standard deviations), and full sets confirm the rest.
+Jaccard similarity drops those that are far off (over SIGMAS standard deviations), and full sets confirm the rest.
 
 Groups of copies never become pairs:
 1. equal word sequences are one text from the start;
-2. each text is compared with one leader only, the least id that it shares the most bands with, and confirmed links are
-   contracted into components;
-3. texts that share a band but not a component are compared in blocks of at most 512 by 512, and only confirmed links
-   leave a block. Buckets of such texts that overlap make clusters; a cluster of up to 4096 texts is compared as a whole,
-   so that its texts travel once and not for every bucket.
+2. each text is compared with one leader only, the least id that it shares the most bands with; a leader's followers are
+   dealt out, FOLLOWERS to a group, and a group holds the leader's set once; confirmed links are contracted into components;
+3. texts that share a band but not a component are compared in blocks of bounded rows and bytes, and only confirmed links
+   leave a block. Buckets of such texts that overlap make clusters; a cluster of up to CLUSTER texts is compared as a
+   whole, so that its texts travel once and not for every bucket; in larger ones each bucket is. Either way all pairs that
+   share a band are looked at.
 Step 3 looks at all that step 2 may have missed, so no link between different texts depends on the choice of leaders.
-What can miss a link is the sketch alone: with the bands chosen here, less than one in a million at the threshold.
+What can miss a link is the sketch alone: at the threshold its bands do so for less than one pair in a million (three words
+and 0.85: 2.3 in ten million; five words and 0.8: 4 in a thousand million), and the estimate for 2 in a hundred million.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from . import sketch as S
 from .common import stored, table
 
-BLOCK, MISSED, SIGMAS = 512, 1e-6, 4.5
-#: Rows of one long, or two, that are broadcast (72 bytes a row as sent, so 72 MB at most); more are joined by a shuffle.
-FEW = 1_000_000
+MISSED, SIGMAS = 1e-6, 5.5
+#: Texts, and shingles of all texts together, in a block; followers that are compared with one copy of their leader.
+BLOCK, BLOCK_SHINGLES, FOLLOWERS = 2048, 4_000_000, 512
+#: Rows of one to three longs that are broadcast (72 bytes a row as sent, so 18 MB at most); more are joined by a shuffle.
+FEW = 250_000
 #: Texts in a cluster that is compared as a whole; in larger ones, only texts that share a bucket are.
 CLUSTER = 4096
 
@@ -61,21 +65,34 @@ def sketched(docs: DataFrame, shingle: int, with_sets: bool = False) -> DataFram
     return docs.select("_id", "_text").mapInArrow(read, "_id long, _key binary, _n long, _sketch binary" + ", _set binary" * with_sets)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows. Where it has many, hot keys of the other side are left to AQE,
+    which splits them, as this side has each key once."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) for every end of an edge (a, b): label is the least id that can be reached. Each round takes the least
-    label of the neighbours and then the label's own label, so long chains shorten by half; tables are written between."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "id").select("id", F.least("label", "near").alias("new"), "label")
-        of = new.select(F.col("id").alias("_of"), F.col("new").alias("_to"))
-        new = new.join(of, F.col("new") == F.col("_of"), "left").select("id", F.least("new", F.coalesce("_to", "new")).alias("new"), "label")
-        new = stored(new, "labels")
-        changed = new.filter("new < label").limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels
+    """(id, label) for every end of an edge (a, b): label is the least id that can be reached.
+
+    By contraction: every id hangs on its least neighbour, chains are shortened to their roots by doubling, and the edges
+    between roots are what is left for the next round, so edges shrink from round to round. Each step is a stored table."""
+    left = stored(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+    labels = stored(left.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().select("id", F.col("id").alias("label")), "labels")
+    left = left.filter("lo < hi")
+    while left.limit(1).count():
+        up = stored(left.groupBy("hi").agg(F.min("lo").alias("up")), "up")
+        while True:
+            parents = stored(up.select(F.col("up").alias("hi")).distinct(), "parents")
+            inner = stored(up.join(few(parents), "hi", "left_semi").select(F.col("hi").alias("_of"), F.col("up").alias("_to")), "inner")
+            if not inner.limit(1).count():
+                break
+            up = stored(up.join(few(inner), F.col("up") == F.col("_of"), "left").select("hi", F.coalesce("_to", "up").alias("up")), "up")
+        root = few(up.select(F.col("hi").alias("_of"), F.col("up").alias("_to")))
+        labels = stored(labels.join(root, F.col("label") == F.col("_of"), "left").select("id", F.coalesce("_to", "label").alias("label")), "labels")
+        left = left.join(root, F.col("hi") == F.col("_of")).select("lo", F.col("_to").alias("hi")).filter("lo <> hi")
+        left = left.join(root, F.col("lo") == F.col("_of"), "left").select(F.coalesce("_to", "lo").alias("lo"), "hi").filter("lo <> hi")
+        left = stored(left.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges")
+    return labels
 
 
 def _matrix(raw, width: int) -> np.ndarray:
@@ -90,21 +107,34 @@ def _confirmed(set_a: bytes, set_b: bytes, threshold: float) -> bool:
     return round(1000 * threshold) * (len(a) + len(b) - both) <= 1000 * both
 
 
-def led(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Links among pairs (a, b with sketches, sizes and sets)."""
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def led(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links between leaders and followers, among groups (_leader, _share) of rows (_id, _n, _sketch, _set); a group's
+    leader comes first, and its followers pass by one after the other."""
     least = least_estimate(threshold)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders = None, []  # of an ident with several texts, all of them
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in b.schema.names}
-            if not len(b):
-                continue
-            equal = (_matrix(c["sketch_a"], S.REGISTERS) == _matrix(c["sketch_b"], S.REGISTERS)).sum(1)
-            good = S.estimated(equal, np.array(c["n_a"]), np.array(c["n_b"])) >= least
-            good = [i for i in np.flatnonzero(good) if _confirmed(c["set_a"][i], c["set_b"][i], threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array([c[n][i] for i in good], pa.int64()) for n in "ab"], names=["a", "b"])
-
-    return pairs.mapInArrow(read, "a long, b long")
+            found = []
+            for r in b.to_pylist():
+                if group != (r["_leader"], r["_share"]):
+                    group, leaders = (r["_leader"], r["_share"]), []
+                if r["_id"] == r["_leader"]:
+                    leaders.append(r)
+                    continue
+                for x in leaders:
+                    equal = (np.frombuffer(x["_sketch"], np.uint16) == np.frombuffer(r["_sketch"], np.uint16)).sum(keepdims=True)
+                    if S.estimated(equal, np.array([x["_n"]]), np.array([r["_n"]]))[0] >= least and _confirmed(x["_set"], r["_set"], threshold):
+                        found.append((r["_id"], x["_id"]))
+                        break
+            yield _links(found)
+
+    dealt = rows.repartition("_leader", "_share").sortWithinPartitions("_leader", "_share", F.col("_id") != F.col("_leader"))
+    return dealt.mapInArrow(read, "a long, b long")
 
 
 def blocked(rows: DataFrame, threshold: float) -> DataFrame:
@@ -148,19 +178,22 @@ def blocked(rows: DataFrame, threshold: float) -> DataFrame:
                     found += links(held)
                     held = []
                 held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _links(found)
             found = []
         if held:
-            found = links(held)
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _links(links(held))
 
     ordered = rows.repartition("_bucket", "_lo", "_hi").sortWithinPartitions("_bucket", "_lo", "_hi")
     return ordered.mapInArrow(read, "a long, b long")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it has few rows."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def followers(members: DataFrame) -> DataFrame:
+    """(_id, _leader, _share) for every text that isn't its own leader: whom it is compared with, and in which group."""
+    best = members.filter("_id <> _leader").groupBy("_id", "_leader").count().groupBy("_id").agg(F.max_by("_leader", F.struct("count", -F.col("_leader"))).alias("_leader"))
+    best = stored(best, "followers")
+    hot = stored(best.groupBy("_leader").count().filter(F.col("count") > FOLLOWERS).select("_leader", F.ceil(F.col("count") / FOLLOWERS).alias("_shares")), "hot")
+    share = F.pmod(F.xxhash64("_id", F.lit(5)), F.coalesce("_shares", F.lit(1).cast("long"))).cast("int")
+    return stored(best.join(few(hot), "_leader", "left").select("_id", "_leader", share.alias("_share")), "followers")
 
 
 def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -168,49 +201,63 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", sh
 
     Two texts link if their sets of shingles have a Jaccard similarity of at least `threshold`. A null text, and one
     without words, links with nothing; with fewer words than a shingle, all words make one. Rows with the same ident are
-    one document with several texts. Rows without an ident link with nothing and are kept, their component is null. An
-    empty table gives an empty result; df's other columns are left out, whatever their names.
+    one document with several texts: what one of them links with, the document links with. Rows without an ident link with
+    nothing and are kept, their component is null. An empty table gives an empty result; df's other columns are left out,
+    whatever their names.
     """
     docs = df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text"))
     every = stored(sketched(docs, shingle), "sketches")
-    firsts = stored(every.filter("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("_rep")), "firsts")
-    reps = stored(firsts.select(F.col("_rep").alias("_id")).distinct(), "firsts")
-    single = every.filter("_key is not null").join(small(reps), "_id", "left_semi")
+    worded = every.filter("_key is not null and _id is not null")
+    copies = stored(worded.groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_id").alias("_last")).filter("_rep < _last").drop("_last"), "copies")
+    rep = few(copies)
+    texts = worded.join(rep, "_key", "left").filter("_rep is null or _rep = _id")
     size = band_size(threshold)
     keys = F.transform(F.sequence(F.lit(0), F.lit(S.REGISTERS // size - 1)), lambda i: F.xxhash64(i, F.col("_sketch").substr(i * (2 * size) + 1, F.lit(2 * size))))
-    bands = single.select("_id", F.explode(keys).alias("_bucket"))
+    bands = texts.select("_id", "_n", F.explode(keys).alias("_bucket"))
     shared = bands.groupBy("_bucket").agg(F.min("_id").alias("_leader"), F.max("_id").alias("_last")).filter("_leader < _last").select("_bucket", "_leader")
-    members = stored(bands.join(small(stored(shared, "buckets")), "_bucket").distinct(), "members")
+    members = stored(bands.join(few(stored(shared, "buckets")), "_bucket").distinct(), "members")
 
     ids = stored(members.select("_id").distinct(), "candidates")
-    full = stored(sketched(docs.join(small(ids), "_id", "left_semi"), shingle, True).filter("_key is not null").drop("_key"), "sets")
-    best = members.filter("_id != _leader").groupBy("_id", "_leader").count().groupBy("_id").agg(F.max_by("_leader", F.struct("count", -F.col("_leader"))).alias("_leader"))
-    side = lambda name: full.select(F.col("_id").alias(name), F.col("_n").alias(f"n_{name}"), F.col("_sketch").alias(f"sketch_{name}"), F.col("_set").alias(f"set_{name}"))
-    pairs = best.select(F.col("_id").alias("a"), F.col("_leader").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    edges = stored(led(pairs, threshold), "links")
+    full = stored(sketched(docs.join(few(ids), "_id", "left_semi"), shingle, True).filter("_key is not null").drop("_key"), "sets")
+    follow = followers(members)
+    leads = stored(follow.select(F.col("_leader").alias("_id"), "_leader", "_share").distinct(), "leaders")
+    edges = led(full.join(few(follow), "_id").unionByName(full.join(few(leads), "_id")), threshold)
+    several = stored(worded.groupBy("_id").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).filter("lo < hi").select("_id"), "several")
+    if several.limit(1).count():  # documents with several texts are linked with whoever stands for each of them
+        edges = edges.union(worded.join(rep, "_key").filter("_rep <> _id").join(few(several), "_id", "left_semi").select(F.col("_id").alias("a"), F.col("_rep").alias("b")))
 
     labels = components(edges)
-    labelled = members.join(labels.withColumnRenamed("id", "_id"), "_id", "left").select("_bucket", "_id", F.coalesce("label", "_id").alias("label"))
-    mixed = labelled.groupBy("_bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("_id").alias("_first"), F.count("*").alias("_count"), F.sum(F.shiftright(F.xxhash64("_id"), 20)).alias("_sum"))
-    # buckets with the same texts are looked at once
-    mixed = stored(mixed.filter("_a < _b").groupBy("_count", "_sum", "_first").agg(F.min("_bucket").alias("_bucket")).drop("_sum"), "mixed")
-    left = stored(labelled.join(small(mixed), "_bucket"), "mixed-members")
-    clusters = components(left.filter("_id != _first").select(F.col("_id").alias("a"), F.col("_first").alias("b")).distinct())
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("_texts")).withColumnRenamed("label", "_cluster")
-    placed = left.join(clusters.select(F.col("id").alias("_id"), F.col("label").alias("_cluster")), "_id").join(sizes, "_cluster")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias("_blocks")
-    whole = placed.filter(F.col("_texts") <= CLUSTER).select(F.col("_cluster").alias("_bucket"), "_id", "label", blocks("_texts")).distinct()
-    parts = placed.filter(F.col("_texts") > CLUSTER).select("_bucket", "_id", "label", blocks("_count"))
+    known = few(labels)
+    labelled = members.join(known.withColumnRenamed("id", "_id"), "_id", "left").select("_bucket", "_id", "_n", F.coalesce("label", "_id").alias("label"))
+    same = [F.count("*").alias("_count"), F.sum("_n").alias("_shingles"), F.min("_id").alias("_first"), F.bit_xor(F.xxhash64("_id")).alias("_x"), F.bit_xor(F.xxhash64("_id", F.lit(7))).alias("_y")]
+    mixed = labelled.groupBy("_bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), *same).filter("_a < _b")
+    # buckets with the same texts are looked at once: two that differ have 128 equal bits by chance alone
+    mixed = stored(mixed.groupBy("_count", "_shingles", "_first", "_x", "_y").agg(F.min("_bucket").alias("_bucket")).select("_bucket", "_count", "_shingles", "_first"), "mixed")
+    left = stored(labelled.join(few(mixed), "_bucket"), "mixed-members")
+    clusters = components(left.filter("_id <> _first").select(F.col("_id").alias("a"), F.col("_first").alias("b")))
+    placed = left.join(few(clusters.select(F.col("id").alias("_id"), F.col("label").alias("_cluster"))), "_id")
+    sizes = stored(placed.select("_cluster", "_id", "_n").distinct().groupBy("_cluster").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_all")), "cluster-sizes")
+    placed = placed.join(few(sizes), "_cluster")
+    blocks = lambda n, shingles: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int").alias("_blocks")
+    whole = placed.filter(F.col("_texts") <= CLUSTER).select(F.col("_cluster").alias("_bucket"), "_id", "label", blocks("_texts", "_all")).distinct()
+    parts = placed.filter(F.col("_texts") > CLUSTER).select("_bucket", "_id", "label", blocks("_count", "_shingles"))
     dealt = whole.union(parts).withColumn("_side", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("_bucket", F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi"), "_side", "_id", "label").join(full, "_id")
-    more = blocked(dealt, threshold)
-    labels = components(edges.union(more))
-
-    own = every.select("_id", "_n", "_key").join(firsts, "_key", "left")
-    own = own.join(labels.select(F.col("id").alias("_rep"), "label"), "_rep", "left")
-    comp = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "_rep", "_id"))
-    return own.select(F.col("_id").alias(ident), F.col("_n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))
+    dealt = stored(dealt.select("_bucket", F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi"), "_side", "_id", "label"), "dealt")
+    more = stored(blocked(full.join(few(dealt), "_id"), threshold), "links")
+    if more.limit(1).count():
+        of = lambda c: known.select(F.col("id").alias(c), F.col("label").alias(f"_{c}"))
+        pairs = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        new = components(pairs).select(F.col("id").alias("_of"), F.col("label").alias("_to"))
+        alone = new.join(known, F.col("_of") == F.col("id"), "left_anti").select(F.col("_of").alias("id"), F.col("_to").alias("label"))
+        labels = labels.join(few(new), F.col("label") == F.col("_of"), "left").select("id", F.coalesce("_to", "label").alias("label"))
+        known = few(stored(labels.union(alone), "labels"))
+
+    own = every.filter("_key is not null").select("_id", "_n", "_key").join(rep, "_key", "left")
+    own = own.select("_id", "_n", F.coalesce("_rep", "_id").alias("_rep")).join(known.select(F.col("id").alias("_rep"), "label"), "_rep", "left")
+    comp = F.when(F.col("_id").isNotNull(), F.coalesce("label", "_rep"))
+    out = own.select("_id", "_n", comp.alias("_c")).union(every.filter("_key is null").select("_id", "_n", F.col("_id").alias("_c")))
+    return out.select(F.col("_id").alias(ident), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), F.coalesce(F.col("_id") == F.col("_c"), F.lit(True)).alias("kept"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
