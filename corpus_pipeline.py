@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect, the one with the least id stays: five words in a shingle, a similarity of 0.8."""
     gone = stored(neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.select(*COLUMNS).join(neardup.small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(neardup.few(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
