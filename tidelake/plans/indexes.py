@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from . import ranges as R
 
-#: Row ids that an index result may bring to the driver to prune files by; more are only joined.
-FEW_IDS = 1_000_000
+#: Files whose row-id ranges are broadcast; more are joined by a shuffle.
+FEW_FILES = 100_000
 
 
 def build_bitmaps(table, entries: list, columns: list[str]) -> list:
@@ -25,31 +27,60 @@ def build_bitmaps(table, entries: list, columns: list[str]) -> list:
         return entries
     path = f"index/bitmap-{uuid.uuid4().hex}"
     schema = table.schema
-    df = table.spark.read.schema(schema.struct).parquet(*(table.uri(e.file.path) for e in entries)).select("*", F.col("_metadata.file_name").alias("_file"))
+    df = table.spark.read.schema(schema.struct).parquet(*(table.uri(e.file.path) for e in entries)).select("*", table.key_column().alias("_file"))
     pairs = F.explode(F.array(*(F.struct(F.lit(str(schema.field(c).id)).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("p")
     df.select("_file", pairs).select("_file", "p.*").distinct().repartition("column").sortWithinPartitions("column", "value").write.parquet(f"{table.path}/{path}")
     return [replace(e, file=replace(e.file, index=path)) for e in entries]
 
 
+def readable(kind: T.DataType) -> bool:
+    """Whether the text of a value in an index is the value."""
+    return isinstance(kind, (T.IntegralType, T.StringType, T.BooleanType, T.DateType, T.DecimalType, T.DoubleType, T.FloatType))
+
+
+def leaves(p: P.Predicate) -> list[P.Leaf]:
+    return [p] if isinstance(p, P.Leaf) else [x for c in p.children for x in leaves(c)]
+
+
 def skipped(table, entries: list, where: P.Predicate, schema) -> set[str]:
-    """Paths of files that the bitmap indexes rule out for equality conditions on indexed columns."""
+    """Paths of files that the value indexes rule out (O-82, O-83, O-86, O-87).
+
+    A file can match a condition on an indexed column if one of its distinct values does, whatever the condition; AND and
+    OR combine these answers, and conditions without an index may always match. One Spark job answers for all indexes and
+    conditions, with a row for each file."""
     by_index: dict[str, list] = {}
     for e in entries:
         if e.file.index:
             by_index.setdefault(e.file.index, []).append(e)
-    out: set[str] = set()
-    leaves = [x for x in P.split_and(where) if isinstance(x, P.Leaf) and x.function in ("eq", "in", "is_null") and x.field not in schema.partition_keys]
+    asked = list(dict.fromkeys(x for x in leaves(where) if x.field not in schema.partition_keys and readable(schema.field(x.field).spark)))
+    if not by_index or not asked:
+        return set()
+    usable: dict[str, set[int]] = {}  # by index: conditions that it can answer
     for path, es in by_index.items():
-        indexed = {f.id for f in table.schema_of(es[0].file.schema_id).fields if f.name in table.schema_of(es[0].file.schema_id).opts.bitmap_columns}
-        own = {f.id: f for f in table.schema_of(es[0].file.schema_id).fields}
-        usable = [x for x in leaves if schema.field(x.field).id in indexed and own[schema.field(x.field).id].type == schema.field(x.field).type]
-        for x in usable:
-            rows = table.spark.read.parquet(table.uri(path)).filter(F.col("column") == str(schema.field(x.field).id))
-            kind = schema.field(x.field).spark
-            hit = F.col("value").isNull() if x.function == "is_null" else F.col("value").isin(*(F.lit(v).cast(kind).cast("string") for v in x.literals if v is not None))
-            names = {r[0] for r in rows.filter(hit).select("_file").distinct().collect()}  # at most a row for each file
-            out |= {e.file.path for e in es if e.file.name not in names}
-    return out
+        written = table.schema_of(es[0].file.schema_id)
+        own = {f.id: f for f in written.fields if f.name in written.opts.bitmap_columns}
+        usable[path] = {i for i, x in enumerate(asked) if (f := own.get(schema.field(x.field).id)) is not None and f.type == schema.field(x.field).type}
+    paths = [p for p, some in usable.items() if some]
+    if not paths:
+        return set()
+    rows = table.spark.read.schema("_file string, column string, value string").parquet(*map(table.uri, paths))
+    hits = []
+    for i, x in enumerate(asked):
+        f = schema.field(x.field)
+        of = rows.select("*", F.when(F.col("column") == str(f.id), F.col("value").cast(f.spark)).alias("_v"), (F.col("column") == str(f.id)).alias("_own"))
+        hits.append(of.filter("_own").filter(P.Leaf(x.function, "_v", x.literals).column()).select("_file", F.lit(i).alias("i")))
+    found: dict[str, set[int]] = {}
+    for r in reduce(lambda a, b: a.union(b), hits).groupBy("_file").agg(F.collect_set("i").alias("hit")).collect():  # a row for each file, with as many numbers as conditions
+        found[r["_file"]] = set(r["hit"])
+
+    def may(p: P.Predicate, path: str, hit: set[int]) -> bool:
+        if isinstance(p, P.Leaf):
+            i = asked.index(p) if p in asked else -1
+            return i not in usable[path] or i in hit
+        answers = (may(c, path, hit) for c in p.children)
+        return all(answers) if isinstance(p, P.And) else any(answers)
+
+    return {e.file.path for path in paths for e in by_index[path] if not may(where, path, found.get(table.key_of(e.file.path), set()))}
 
 
 @dataclass
@@ -121,8 +152,14 @@ def evaluate(table, where: P.Predicate) -> IndexResult:
     if end > last:  # the tail without an index
         tail = table.spark.range(last + 1, end + 1).withColumnRenamed("id", "_ROW_ID")
         out = IndexResult(out.ids.filter(F.col("_ROW_ID") <= last).union(tail))
-    few = out.ids.limit(FEW_IDS + 1)
-    spans = few.agg(F.count("*"), F.min("_ROW_ID"), F.max("_ROW_ID")).first()
-    if spans[0] <= FEW_IDS:
-        out.ranges = [R.Range(spans[1], spans[2])] if spans[0] else []
+    out.ranges = hit_ranges(table, out.ids, latest)
     return out
+
+
+def hit_ranges(table, ids: DataFrame, latest) -> list[R.Range]:
+    """The row-id ranges of files that hold one of the ids: a join by bins of row ids, and at most a row for each file."""
+    files = sorted({(e.file.first_row_id, e.file.last_row_id) for e in table.meta.entries(latest) if e.file.first_row_id is not None})
+    bin_of = lambda c: F.shiftright(c, 20)
+    spans = table.spark.createDataFrame(files, "_first long, _last long").withColumn("_bin", F.explode(F.sequence(bin_of("_first"), bin_of("_last"))))
+    hit = ids.select("_ROW_ID", bin_of("_ROW_ID").alias("_bin")).join(F.broadcast(spans) if len(files) <= FEW_FILES else spans, "_bin").filter(F.col("_ROW_ID").between(F.col("_first"), F.col("_last")))
+    return R.merge(tuple(r) for r in hit.select("_first", "_last").distinct().collect())

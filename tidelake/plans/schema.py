@@ -151,6 +151,8 @@ class Options:
     commit_retries: int = 10
     commit_timeout: float | None = None
     manifest_min: int = 30
+    manifest_target: int = 8 << 20
+    manifest_full: int = 16 << 20
 
     @classmethod
     def of(cls, raw: dict[str, Any] | None) -> Options:
@@ -165,7 +167,8 @@ class Options:
                  "file-index.read.enabled": ("file_index_read", _flag), "global-index.enabled": ("global_index", _flag), "blob-as-descriptor": ("blob_as_descriptor", _flag), "data-file.external-paths": ("external_paths", _names),
                  "data-file.external-paths.strategy": ("external_strategy", str), "data-file.prefix": ("data_prefix", str), "snapshot.num-retained.min": ("retain_min", int), "snapshot.num-retained.max": ("retain_max", int),
                  "snapshot.time-retained": ("retain_time", duration), "snapshot.expire.limit": ("expire_limit", int), "commit.max-retries": ("commit_retries", int), "commit.timeout": ("commit_timeout", duration),
-                 "manifest.merge-min-count": ("manifest_min", int), "fields.default-aggregate-function": ("default_aggregate", str)}
+                 "manifest.merge-min-count": ("manifest_min", int), "manifest.target-file-size": ("manifest_target", memory_size),
+                 "manifest.full-compaction-threshold-size": ("manifest_full", memory_size), "fields.default-aggregate-function": ("default_aggregate", str)}
         for k, v in raw.items():
             if k in plain:
                 name, turn = plain[k]
@@ -414,6 +417,7 @@ def validate(s: TableSchema) -> None:
     if o.row_tracking or o.data_evolution or blobs:
         need(not s.primary_keys, "row tracking is for tables without a primary key")
         need(o.bucket == UNAWARE, "row tracking needs bucket -1")
+    need(o.file_format == "parquet" or not (o.row_tracking or o.deletion_vectors), "row positions need files in parquet")
     if o.data_evolution:
         need(o.row_tracking, "data evolution needs row-tracking.enabled")
         need(not o.deletion_vectors, "data evolution doesn't work with deletion vectors")

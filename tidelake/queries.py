@@ -167,13 +167,14 @@ ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalpric
 ORDER_COLUMNS = [x.split()[0] for x in ORDERS.split(", ")]
 
 
-def orders_table(spark, sf_dir, commits: int = 2, partitioned: bool = False, options: dict | None = None):
-    """Orders in an append table, one commit for each remainder of the key."""
+def orders_table(spark, sf_dir, commits: int = 2, partitioned: bool = False, options: dict | None = None, tasks: int | None = None):
+    """Orders in an append table, one commit for each remainder of the key. tasks: 1 gives files of all partitions one name."""
     cat = catalog(spark)
     t = cat.create_table("db.orders", {x.split()[0]: x.split()[1] for x in ORDERS.split(", ")}, ["o_orderstatus"] if partitioned else [], options=options)
     src = read(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
     for i in range(commits):
-        t.append(src.filter(F.col("o_orderkey") % commits == i), identifier=i + 1)
+        part = src.filter(F.col("o_orderkey") % commits == i)
+        t.append(part.coalesce(tasks) if tasks else part, identifier=i + 1)
     return t
 
 
@@ -272,6 +273,37 @@ def deletion_vectors(spark, sf_dir):
     return t.scan()
 
 
+KEPT = f"SELECT {OUT} FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0 OR o_totalprice >= 300000 OR o_custkey < 100)"
+
+
+def some_deleted(spark, sf_dir, t):
+    """Deletes rows of one partition by their positions, and rows of all partitions by a predicate."""
+    t.mark_deleted(t.positions().filter("o_orderstatus = 'F' AND o_custkey % 2 = 0").select("_file", "_at"))
+    t.delete_rows(p.ge("o_totalprice", 300000.0) | p.lt("o_custkey", 100))
+    return t.scan()
+
+
+@query(KEPT)
+def deletion_vectors_partitioned(spark, sf_dir):
+    """O-60 to O-63 where files of several partitions share a name."""
+    return some_deleted(spark, sf_dir, orders_table(spark, sf_dir, partitioned=True, options={"deletion-vectors.enabled": "true"}, tasks=1))
+
+
+@query(KEPT)
+def deletion_vectors_bucketed(spark, sf_dir):
+    """O-60 to O-63 where files of several buckets share a name."""
+    return some_deleted(spark, sf_dir, orders_table(spark, sf_dir, options={"deletion-vectors.enabled": "true", "bucket": "4", "bucket-key": "o_orderkey"}, tasks=1))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN d % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM (SELECT o_orderkey AS d FROM orders)")
+def checked_delete(spark, sf_dir):
+    """O-63: which positions are deleted, after the same ones were deleted twice."""
+    t = orders_table(spark, sf_dir, partitioned=True, options={"deletion-vectors.enabled": "true"}, tasks=1)
+    for _ in range(2):
+        t.mark_deleted(t.positions().filter("o_orderkey % 3 = 0").select("_file", "_at"))
+    return t.is_deleted(t.positions().select("_file", "_at")).agg(F.count("*").alias("n"), F.count_if("is_deleted").alias("deleted"))
+
+
 def evolution_table(spark, sf_dir, options: dict | None = None):
     cat = catalog(spark)
     t = cat.create_table("db.t", {"o_orderkey": "BIGINT", "o_custkey": "BIGINT", "note": "STRING"}, options={"row-tracking.enabled": "true", "data-evolution.enabled": "true", **(options or {})})
@@ -291,6 +323,33 @@ def data_evolution(spark, sf_dir):
     return t.scan(columns=["o_orderkey", "o_custkey", "note", "_SEQUENCE_NUMBER"]).withColumnRenamed("_SEQUENCE_NUMBER", "seq")
 
 
+def evolution_by_status(spark, sf_dir):
+    """The same in partitions, with files of one name."""
+    t = catalog(spark).create_table("db.t", {"o_orderkey": "BIGINT", "o_custkey": "BIGINT", "status": "STRING", "note": "STRING"}, ["status"], options={"row-tracking.enabled": "true", "data-evolution.enabled": "true"})
+    src = read(spark, sf_dir, "orders")
+    for i in range(2):
+        t.append(src.filter(F.col("o_orderkey") % 2 == i).selectExpr("o_orderkey", "o_custkey", "o_orderstatus AS status", "'old' AS note").coalesce(1))
+    return t
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS ids, CAST(0 AS BIGINT) AS least, CAST(count(*) - 1 AS BIGINT) AS greatest, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+def row_tracking_partitioned(spark, sf_dir):
+    """O-72, O-73 where files of several partitions share a name: every row has an id of its own."""
+    df = evolution_by_status(spark, sf_dir).scan(columns=["_ROW_ID", "o_orderkey"])
+    return df.agg(F.count("*").alias("n"), F.count_distinct("_ROW_ID").alias("ids"), F.min("_ROW_ID").alias("least"), F.max("_ROW_ID").alias("greatest"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderstatus AS VARCHAR) AS status, CASE WHEN o_custkey % 10 = 3 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS note FROM orders WHERE o_orderstatus <> 'P'")
+def data_evolution_partitioned(spark, sf_dir):
+    """O-70, O-74, O-76 where files of several partitions share a name; a partition goes with its later columns."""
+    t = evolution_by_status(spark, sf_dir)
+    rows = t.scan(columns=["_ROW_ID", "o_orderkey", "o_custkey"])
+    t.commit(t.write(rows.filter("o_orderkey % 2 = 0").selectExpr("_ROW_ID", "'new' AS note"), columns=["note"]))
+    t.commit(t.write(rows.filter("o_custkey % 10 = 3").selectExpr("_ROW_ID", "cast(null AS string) AS note"), columns=["note"]))
+    t.drop_partitions([{"status": "P"}])
+    return t.scan()
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(100 AS BIGINT) AS least, CAST(499 AS BIGINT) AS greatest FROM (SELECT 1 FROM orders LIMIT 350)")
 def row_ranges(spark, sf_dir):
     """O-72, O-74: row ids within two ranges."""
@@ -306,6 +365,13 @@ def file_bitmap_index(spark, sf_dir):
     return t.scan(where=p.isin("o_orderpriority", ["1-URGENT", "5-LOW"]) & p.eq("o_orderstatus", "F"))
 
 
+@query(f"SELECT {OUT} FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') AND o_custkey <> 7 AND (o_orderstatus > 'F' OR o_orderpriority = '2-HIGH')")
+def file_index_not_in(spark, sf_dir):
+    """O-82, O-83, O-86, O-88: negated and ordered conditions, AND and OR, by the files' values."""
+    t = orders_table(spark, sf_dir, options={"file-index.bitmap.columns": "o_orderpriority,o_orderstatus,o_custkey"})
+    return t.scan(where=p.not_in("o_orderpriority", ["1-URGENT", "5-LOW"]) & p.ne("o_custkey", 7) & (p.gt("o_orderstatus", "F") | p.eq("o_orderpriority", "2-HIGH")))
+
+
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders WHERE o_custkey IN (7, 11, 100) OR o_custkey = 400")
 def global_index(spark, sf_dir):
     """O-89a to O-89j: row ids from a table-level index, with a tail that came after it was built."""
@@ -315,6 +381,14 @@ def global_index(spark, sf_dir):
     return t.scan(columns=["o_orderkey", "o_custkey"], index=found)
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders WHERE o_custkey BETWEEN 40 AND 60 AND o_orderstatus <> 'P'")
+def global_index_partitioned(spark, sf_dir):
+    """O-89d, e, i: a range by a table-level index; only files that are hit are read, of all partitions but one."""
+    t = evolution_by_status(spark, sf_dir)
+    indexes.build_global(t, "o_custkey")
+    return t.scan(columns=["o_orderkey", "o_custkey"], index=indexes.evaluate(t, p.between("o_custkey", 40, 60)), partitions=[{"status": "F"}, {"status": "O"}])
+
+
 QUERY_VECTOR = [0.1] * 64
 
 
@@ -410,19 +484,134 @@ def keyed_partial_update(spark, sf_dir):
     return keyed_table(spark, sf_dir, "partial-update", {"ignore-delete": "true"}).scan(columns=["user_id", "value"])
 
 
+@query(f"SELECT * FROM ({KEYED}) WHERE NOT (value > 80 OR user_id < 20)")
+def keyed_deletion_vectors(spark, sf_dir):
+    """O-60, O-21: rows of a compacted keyed table deleted by position; what came after waits at level 0."""
+    t = keyed_table(spark, sf_dir, options={"deletion-vectors.enabled": "true"})
+    t.compact()
+    t.delete_rows(p.gt("value", 80.0) | p.lt("user_id", 20))
+    t.append(records(spark, sf_dir, "value", "event_type").withColumn("value", F.lit(-1.0)))
+    return t.scan()
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS r FROM orders) WHERE r = 1")
+def keyed_first_row(spark, sf_dir):
+    """O-41, O-21: the first order of a customer through a table, visible once it is compacted."""
+    t = catalog(spark).create_table("db.t", {"o_custkey": "BIGINT", "o_orderkey": "BIGINT"}, [], ["o_custkey"], {"bucket": "4", "merge-engine": "first-row"})
+    src = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    for i in range(2):
+        t.append(src.filter(F.col("o_orderkey") % 2 == i).coalesce(1).sortWithinPartitions("o_orderkey"))
+    assert t.scan().isEmpty()
+    t.compact()
+    return t.scan()
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(max(o_totalprice) AS DOUBLE) AS greatest, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def keyed_aggregation(spark, sf_dir):
+    """O-42, O-47, O-49 through a table, with a compaction between two commits."""
+    t = catalog(spark).create_table("db.t", {"o_custkey": "BIGINT", "greatest": "DOUBLE", "keys": "BIGINT"}, [], ["o_custkey"], {"bucket": "4", "merge-engine": "aggregation", "fields.greatest.aggregate-function": "max", "fields.keys.aggregate-function": "sum"})
+    src = read(spark, sf_dir, "orders").selectExpr("o_custkey", "o_totalprice AS greatest", "o_orderkey AS keys")
+    t.append(src.filter("keys % 2 = 0"))
+    t.compact()
+    t.append(src.filter("keys % 2 = 1"))
+    return t.scan()
+
+
+@query(KEYED)
+def bucket_filter(spark, sf_dir):
+    """O-20: the buckets of a keyed table one by one."""
+    t = keyed_table(spark, sf_dir)
+    return t.scan(bucket=0).union(t.scan(bucket=1)).union(t.scan(bucket=2)).union(t.scan(bucket=3))
+
+
+@query(f"SELECT {OUT} FROM orders")
+def scan_orc(spark, sf_dir):
+    """O-151: a table in ORC."""
+    return orders_table(spark, sf_dir, partitioned=True, options={"file.format": "orc"}).scan()
+
+
+@query(f"SELECT {OUT} FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
+def scan_orc_predicate(spark, sf_dir):
+    """O-151, O-155: pruned by the statistics of ORC files and filtered."""
+    return orders_table(spark, sf_dir, partitioned=True, options={"file.format": "orc"}).scan(where=p.gt("o_totalprice", 200000.0) & p.eq("o_orderstatus", "O"))
+
+
+@query(f"SELECT {OUT} FROM orders")
+def external_paths(spark, sf_dir):
+    """O-159: files in two other places by turns."""
+    away = f"{catalog(spark).warehouse}/away"
+    return orders_table(spark, sf_dir, options={"data-file.external-paths": f"{away}/1,{away}/2", "data-file.external-paths.strategy": "round-robin"}).scan()
+
+
+@query(f"SELECT {OUT} FROM orders WHERE o_orderkey % 5 <> 2 OR o_orderstatus <> 'F'")
+def manifests_merged(spark, sf_dir):
+    """O-133, O-161: manifests rolled at a small size and merged while files come and go."""
+    t = orders_table(spark, sf_dir, 5, True, {"manifest.merge-min-count": "2", "manifest.target-file-size": "4kb", "manifest.full-compaction-threshold-size": "8kb"})
+    t.overwrite(t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).filter("o_orderkey % 5 <> 2 AND o_orderstatus = 'F'")), [{"o_orderstatus": "F"}])
+    return t.scan()
+
+
+@query("SELECT CAST(o_orderkey % 3 + 1 AS BIGINT) AS id, CAST(70 AS BIGINT) AS watermark, CAST(count(*) AS BIGINT) AS delta FROM orders GROUP BY 1")
+def watermarks(spark, sf_dir):
+    """O-131, O-132: a snapshot's watermark never goes back; its count of records."""
+    t = orders_table(spark, sf_dir, 0)
+    src = read(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    for i, mark in enumerate((70, 50, None)):
+        t.append(src.filter(F.col("o_orderkey") % 3 == i), watermark=mark)
+    return t.snapshots().select("id", "watermark", "delta")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 2 = 1")
+def stream_latest(spark, sf_dir):
+    """O-13: a follower that starts at the latest snapshot sees only what comes after."""
+    t = orders_table(spark, sf_dir, 0)
+    src = read(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    t.append(src.filter("o_orderkey % 2 = 0"))
+    late = Follower(t, {"scan.mode": "latest"})
+    late.poll()
+    t.append(src.filter("o_orderkey % 2 = 1"))
+    (_, df), = list(late)
+    return df.agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST(k AS TINYINT) AS kind, CAST(user_id AS BIGINT) AS user_id, CAST(value AS DOUBLE) AS value FROM ({EV}) WHERE event_id % 2 = 0")
+def postponed_buckets(spark, sf_dir):
+    """O-122: records without a bucket yet are seen as changes only."""
+    t = keyed_table(spark, sf_dir, options={"bucket": "-2"})
+    assert t.scan().isEmpty()
+    return t.changes(1).select(F.col("_VALUE_KIND").alias("kind"), "user_id", "value")
+
+
+@query("""SELECT CAST(vec_id AS BIGINT) AS vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - 0.1) * (CAST(embedding[i] AS DOUBLE) - 0.1)))), 6) AS score FROM embeddings WHERE label <> 3 ORDER BY score, vec_id LIMIT 20""")
+def vector_scan(spark, sf_dir):
+    """O-89c, O-89g: the nearest rows of a table, among those that a predicate keeps."""
+    t = catalog(spark).create_table("db.t", {"vec_id": "BIGINT", "label": "INT", "embedding": {"type": "ARRAY", "element": "FLOAT"}})
+    t.append(read(spark, sf_dir, "embeddings").selectExpr("vec_id", "cast(label AS int) AS label", "cast(embedding AS array<float>) AS embedding"))
+    return t.scan(["vec_id"], where=p.ne("label", 3), vector=("embedding", QUERY_VECTOR, 20)).select("vec_id", F.round(SCORE, 6).alias("score"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS records, CAST(3 AS BIGINT) AS files FROM orders")
+def append_splits(spark, sf_dir):
+    """O-24: files in order of arrival, packed into splits, from metadata alone."""
+    t = orders_table(spark, sf_dir, 3, tasks=1)
+    splits = t.plan().splits(1 << 20, 1 << 19)
+    return spark.createDataFrame([(sum(e.file.rows for s in splits for e in s), sum(map(len, splits)))], "records long, files long")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT 1 FROM orders LIMIT 7)")
 def scan_limit(spark, sf_dir):
     """O-23: few files are planned, rows are cut exactly."""
     return orders_table(spark, sf_dir).scan(limit=7).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT {OUT} FROM orders WHERE o_orderkey <= 10")
+@query(f"SELECT {OUT.replace('CAST(o_totalprice AS DOUBLE)', 'CAST(CASE WHEN o_orderstatus = chr(70) THEN o_totalprice * 2 ELSE o_totalprice END AS DOUBLE)')} FROM orders")
 def expire_and_clean(spark, sf_dir):
-    """O-135, O-136: old snapshots and unused files go, the latest rows stay."""
-    t = orders_table(spark, sf_dir, 4)
-    t.overwrite(t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).filter("o_orderkey <= 10")))
+    """O-135, O-136: old snapshots and unused files go, the latest rows of the whole table stay."""
+    t = orders_table(spark, sf_dir, 4, True)
+    src = read(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    t.overwrite(t.write(src.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 2)), [{"o_orderstatus": "F"}])
     t.expire(retain_min=1, older_than=2**62)
-    t.write(read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).filter("o_orderkey <= 5"))  # never committed
+    t.write(src)  # never committed
     t.remove_orphans(older_than=2**62)
     return t.scan()
 
@@ -438,6 +627,21 @@ def adopt_files(spark, sf_dir):
     return t.scan()
 
 
+@query(f"SELECT {OUT} FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 2 = 0)")
+def adopt_same_names(spark, sf_dir):
+    """O-137, O-60: adopted files that share a name keep their own rows when some are deleted."""
+    cat = catalog(spark)
+    t = cat.create_table("db.t", {x.split()[0]: x.split()[1] for x in ORDERS.split(", ")}, options={"deletion-vectors.enabled": "true"})
+    for i in range(2):
+        away = f"{cat.warehouse}/elsewhere{i}"
+        read(spark, sf_dir, "orders").select(*ORDER_COLUMNS).filter(F.col("o_orderkey") % 2 == i).coalesce(1).write.parquet(away)
+        (name,) = [f for f, _, _ in cat.store.files(away) if f.endswith(".parquet")]
+        cat.store.rename(f"{away}/{name}", f"{away}/x.parquet")
+        t.adopt([f"{away}/x.parquet"])
+    t.mark_deleted(t.positions().filter("o_orderstatus = 'F' AND o_orderkey % 2 = 0").select("_file", "_at"))
+    return t.scan()
+
+
 @query(f"SELECT {OUT} FROM orders WHERE o_orderkey % 2 = 0")
 def filter_and_commit(spark, sf_dir):
     """O-127: a message that was committed before isn't committed again."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections import defaultdict
@@ -28,10 +29,20 @@ from .files import footers
 
 ROW_ID, SCORE = "_ROW_ID", "_INDEX_SCORE"
 #: Rows of (file, position), or (file, first row id), that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, BROADCAST_FILES = 500_000, 100_000
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
+#: Scheme and slashes at the start of a path, which file systems spell in several ways.
+SCHEME = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*"
+#: Rows of a partition whose sequence numbers stand together, in bits.
+TOGETHER_BITS = 26
+
+
+def bare(path: str) -> str:
+    return re.sub(SCHEME, "", path)
+
+
 class CommitConflict(RuntimeError):
     pass
 
@@ -112,6 +123,18 @@ class Table:
     def uri(self, path: str) -> str:
         return path if "://" in path or path.startswith(("/", "file:")) else f"{self.path}/{path}"
 
+    def key_of(self, path: str) -> str:
+        """What names a file in row positions: its path below the table, or the whole path without scheme if it lies elsewhere."""
+        return path if self.uri(path) != path else bare(self.store.qualified(path))
+
+    def key_column(self) -> Column:
+        """key_of, of the file that a row is read from. Names alone don't tell files apart: all partitions and buckets of a
+        writing task share one."""
+        whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        whole = F.regexp_replace(whole, SCHEME, "")
+        root = bare(self.store.qualified(self.path)) + "/"
+        return F.when(F.startswith(whole, F.lit(root)), F.substr(whole, F.lit(len(root) + 1))).otherwise(whole)
+
     # scan
 
     def resolve(self, options: Options, snapshot_id: int | None = None) -> Snapshot | None:
@@ -251,17 +274,18 @@ class Table:
         """Files of one schema as they are, without rows that deletion vectors take; with row ids and sequence numbers if tracked."""
         own = [f for f in written.struct if cols is None or f.name in cols]
         special = [T.StructField(M.SEQUENCE, T.LongType()), T.StructField(M.KIND, T.ByteType())] if keyed else [T.StructField(ROW_ID, T.LongType())] if cols is not None and ROW_ID in cols else []
-        df = self.spark.read.schema(T.StructType(special + [T.StructField(f.name, f.dataType) for f in own])).parquet(*(self.uri(e.file.path) for e in entries))
-        names = {e.file.path: e.file.name for e in entries}
-        vectors = [v for v in (self._vectors(snapshot) if snapshot else []) if any(f in names for f in v["files"])]
+        schema = T.StructType(special + [T.StructField(f.name, f.dataType) for f in own])
+        kinds = sorted({e.file.kind for e in entries})
+        df = reduce(lambda a, b: a.union(b), [self.spark.read.schema(schema).format(k).load([self.uri(e.file.path) for e in entries if e.file.kind == k]) for k in kinds])
+        paths = {e.file.path for e in entries}
+        vectors = [v for v in (self._vectors(snapshot) if snapshot else []) if any(f in paths for f in v["files"])]
         if vectors or tracked:
-            df = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+            df = df.select("*", self.key_column().alias("_file"), F.col("_metadata.row_index").alias("_at"))
         if vectors:
-            dv = self.spark.read.schema("_file string, _at long").parquet(*(self.uri(v["path"]) for v in vectors))
-            df = df.join(F.broadcast(dv) if sum(sum(v["files"].values()) for v in vectors) <= BROADCAST_ROWS else dv, ["_file", "_at"], "left_anti")
+            df = df.join(self._deleted(vectors), ["_file", "_at"], "left_anti")
         if tracked:
-            first = self.spark.createDataFrame([(e.file.name, e.file.first_row_id, e.file.max_seq) for e in entries], "_file string, _first long, _seq long")  # a row for each file that the driver has listed
-            df = df.join(F.broadcast(first) if len(entries) <= BROADCAST_ROWS else first, "_file")
+            first = self.spark.createDataFrame([(self.key_of(e.file.path), e.file.first_row_id, e.file.max_seq) for e in entries], "_file string, _first long, _seq long")  # a row for each file that the driver has listed
+            df = df.join(F.broadcast(first) if len(entries) <= BROADCAST_FILES else first, "_file")
             row = F.col("_first") + F.col("_at")
             df = df.withColumn(ROW_ID, F.coalesce(ROW_ID, row) if ROW_ID in df.columns else row).withColumn(M.SEQUENCE, F.col("_seq")).drop("_first", "_seq")
         return df.drop("_file", "_at") if vectors or tracked else df
@@ -305,8 +329,8 @@ class Table:
         columns: a subset on a table with data evolution; df then has `_ROW_ID` and those columns."""
         schema = self.schema
         opts, keyed = schema.opts, bool(schema.primary_keys)
-        if opts.file_format != "parquet":
-            raise ValueError(f"tables are written as parquet, not {opts.file_format}")
+        if opts.file_format not in ("parquet", "orc"):
+            raise ValueError(f"tables are written as parquet or orc, not {opts.file_format}")
         if columns is not None:
             if not opts.data_evolution or ROW_ID not in df.columns or not set(columns) <= set(schema.names):
                 raise ValueError("a subset of columns needs data evolution, known columns and _ROW_ID")
@@ -324,13 +348,17 @@ class Table:
             special = [F.col(M.SEQUENCE).cast("long").alias(M.SEQUENCE), F.col(M.KIND).cast("tinyint").alias(M.KIND)]
         elif columns is not None:
             special = [F.col(ROW_ID).cast("long").alias(ROW_ID)]
-        keys = list(schema.partition_keys) if columns is None else []
+        keys = list(schema.partition_keys)
         df = df.select(*special, *cols)
-        for k in keys:  # a blank partition value is the default partition, which reads as null
+        if columns is not None and keys:
+            df = self._placed(df, schema)
+        for k in keys if columns is None else []:  # a blank partition value is the default partition, which reads as null
             if isinstance(schema.field(k).spark, T.StringType):
                 df = df.withColumn(k, F.when(F.trim(k) != "", F.col(k)))
         bucket = bucket_id(schema.bucket_keys, opts.bucket) if keyed or opts.bucket_key else F.lit(0)
-        df = df.select("*", *(F.col(k).alias(f"_pt{i}") for i, k in enumerate(keys)), bucket.alias("_bucket"))
+        if columns is None:
+            df = df.select("*", *(F.col(k).alias(f"_pt{i}") for i, k in enumerate(keys)))
+        df = df.select("*", bucket.alias("_bucket"))
         places = [*(f"_pt{i}" for i in range(len(keys))), "_bucket"]
         if keys or opts.bucket > 1 or keyed:
             df = df.hint("rebalance", *places)  # one place's rows together, large places in several files
@@ -344,21 +372,39 @@ class Table:
         writer = df.write.option("compression", opts.compression)
         for c in opts.bloom_columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.partitionBy(*places).parquet(f"{base}/{folder}")
+        writer.partitionBy(*places).format(opts.file_format).save(f"{base}/{folder}")
         return self._message(base, folder, schema, opts, keys, columns, level)
 
+    def _placed(self, df: DataFrame, schema: TableSchema) -> DataFrame:
+        """Adds the partition of each row id as _pt0 and so on, by the ranges of row ids of the table's full files: a join by
+        bins of row ids, with a row for each file and bin."""
+        latest = self.meta.latest()
+        full = [e for e in (self.meta.entries(latest) if latest else []) if e.file.write_cols is None and e.file.first_row_id is not None]
+        keys = schema.partition_keys
+        kinds = T.StructType([T.StructField("_first", T.LongType()), T.StructField("_last", T.LongType()), *(T.StructField(f"_pt{i}", schema.field(k).spark) for i, k in enumerate(keys))])
+        spans = self.spark.createDataFrame([(e.file.first_row_id, e.file.last_row_id, *e.partition) for e in full], kinds)
+        bin_of = lambda c: F.shiftright(c, 20)
+        spans = spans.withColumn("_bin", F.explode(F.sequence(bin_of("_first"), bin_of("_last"))))
+        spans = F.broadcast(spans) if len(full) <= BROADCAST_FILES else spans
+        found = df.join(spans, (bin_of(ROW_ID) == F.col("_bin")) & F.col(ROW_ID).between(F.col("_first"), F.col("_last")))
+        return found.drop("_first", "_last", "_bin")
+
     def _sequenced(self, df: DataFrame, schema: TableSchema) -> DataFrame:
-        """Numbers records in the order in which they arrive, after all that the table has. One pass: a number is the
-        partition's, shifted, plus the place in it, so numbers grow but have gaps. A load of 100,000 partitions uses one
-        of 8,000 parts of all 64-bit numbers."""
+        """Numbers records in the order in which they arrive, after all that the table has, in one pass: a number is the
+        partition's, shifted, plus the place in it, so numbers grow but have gaps. A load of 100,000 partitions uses one of
+        680,000 parts of all numbers, and a compaction starts from 0 again. Rows of a partition beyond the first 2^26 count
+        as later than the other partitions' rows."""
         latest = self.meta.latest()
         start = (max((e.file.max_seq for e in self.meta.entries(latest)), default=-1) if latest else -1) + 1
         if start > 1 << 62:
             raise ValueError("sequence numbers run out; compact the table with fresh ones")
-        return df.withColumn(M.SEQUENCE, F.monotonically_increasing_id() + F.lit(start))
+        at = F.monotonically_increasing_id()
+        part, place = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
+        number = F.when(place < 1 << TOGETHER_BITS, F.shiftleft(part, TOGETHER_BITS) + place).otherwise(at + F.lit(1 << 52))
+        return df.withColumn(M.SEQUENCE, number + F.lit(start))
 
     def _message(self, base: str, folder: str, schema: TableSchema, opts: Options, keys: list[str], columns, level: int) -> CommitMessage:
-        listed = [(p, n) for p, n, _ in self.store.files(f"{base}/{folder}") if p.endswith(".parquet")]
+        listed = [(p, n) for p, n, _ in self.store.files(f"{base}/{folder}") if p.endswith((".parquet", ".orc"))]
         out = CommitMessage()
         ids = {f.name: f.id for f in schema.fields}
         for (path, size), told in zip(listed, footers(self.spark, [self.store.qualified(f"{base}/{folder}/{p}") for p, _ in listed]), strict=True):
@@ -428,8 +474,8 @@ class Table:
         made: list[str] = []
         try:
             base = [*meta.read_list(latest.base), *meta.read_list(latest.delta)] if latest else []
-            base = meta.compacted(base, opts.manifest_min)
-            base_list, delta = meta.write_list(base), [meta.write_manifest(entries)] if entries else []
+            base = meta.compacted(base, opts.manifest_min, opts.manifest_target, opts.manifest_full)
+            base_list, delta = meta.write_list(base), meta.write_manifests(entries, opts.manifest_target)
             delta_list = meta.write_list(delta)
             made += [base_list, delta_list, *(m["name"] for m in delta)]
             index = latest.index if latest else None
@@ -486,9 +532,12 @@ class Table:
         if stray := [e.partition for e in message.entries if not partition_matches(spec, schema.partition_keys, e.partition)]:
             raise ValueError(f"rows of partition {stray[0]} are outside the partitions to overwrite")
         old = [replace(e, kind=DELETE) for e in (self.meta.entries(latest) if latest else []) if partition_matches(spec, schema.partition_keys, e.partition)]
-        paths = {e.file.path for e in old}
-        index = self.meta.read_index(latest.index) if latest else []
-        return self.commit(CommitMessage([*old, *message.entries], message.index_added, [i["path"] for i in index if set(i.get("files", ())) and set(i["files"]) <= paths]), identifier, watermark, user, OVERWRITE)
+        return self.commit(CommitMessage([*old, *message.entries], message.index_added, self._useless(latest, old)), identifier, watermark, user, OVERWRITE)
+
+    def _useless(self, latest: Snapshot | None, gone: list[Entry]) -> list[str]:
+        """Indexes of files that are all gone."""
+        paths = {e.file.path for e in gone}
+        return [i["path"] for i in (self.meta.read_index(latest.index) if latest else []) if i.get("files") and set(i["files"]) <= paths]
 
     def filter_and_overwrite(self, message: CommitMessage, partitions: list[dict] | None, identifier: int, user: str = "writer") -> int:
         last = self.meta.latest_of(user)
@@ -508,10 +557,11 @@ class Table:
         if latest is None or not schema.primary_keys:
             return None
         old = [e for e in self.meta.entries(latest) if e.bucket >= 0]
-        seq = max((e.file.max_seq for e in old), default=0)
-        rows = self.merged(old, schema, schema.opts, latest).withColumn(M.SEQUENCE, F.lit(seq)).withColumn(M.KIND, F.lit(0).cast("tinyint"))
+        # one version of each key is left, so numbers start again; what comes later is numbered after it
+        rows = self.merged(old, schema, schema.opts, latest).withColumn(M.SEQUENCE, F.lit(0)).withColumn(M.KIND, F.lit(0).cast("tinyint"))
         message = self.write(rows, level=level)
         message.entries = [replace(e, kind=DELETE) for e in old] + message.entries
+        message.index_deleted = self._useless(latest, old)
         return self.commit(message, user=user, kind=COMPACT)
 
     # deletion vectors
@@ -520,35 +570,53 @@ class Table:
         return [i for i in self.meta.read_index(snapshot.index) if i["type"] == "dv"] if snapshot and snapshot.index else []
 
     def delete_rows(self, where: P.Predicate, user: str = "writer") -> int:
-        """Marks rows of an append table as deleted; files stay as they are. Returns how many rows went."""
+        """Marks rows as deleted; files stay as they are. Returns how many rows went. On keyed tables these are rows that a
+        compaction has written: what is newer goes by a record that retracts it."""
         schema, latest = self.schema, self.meta.latest()
-        if schema.primary_keys or not schema.opts.deletion_vectors:
-            raise ValueError("rows can be deleted by position on append tables with deletion-vectors.enabled")
+        if not schema.opts.deletion_vectors:
+            raise ValueError("rows can be deleted by position on tables with deletion-vectors.enabled")
         if latest is None:
             return 0
-        p = self._plan(latest, schema, schema.opts, where)
         found = []
-        for ident in sorted({e.file.schema_id for e in p.raw}):
-            es = [e for e in p.raw if e.file.schema_id == ident]
-            own = self.schema_of(ident)
-            df = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in own.struct])).parquet(*(self.uri(e.file.path) for e in es))
-            df = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-            found.append(df.select("_file", "_at", *mapped(df, own, schema)).filter(where.column()).select("_file", "_at"))
-        if not found:
-            return 0
-        rows = reduce(lambda a, b: a.union(b), found)
-        known = self._vectors(latest)
-        if known:
-            rows = rows.join(self.spark.read.schema("_file string, _at long").parquet(*(self.uri(v["path"]) for v in known)), ["_file", "_at"], "left_anti")
-        return self.mark_deleted(rows, user)
+        for ident, df in self._positions(self._plan(latest, schema, schema.opts, where).raw):
+            found.append(df.select("_file", "_at", *mapped(df, self.schema_of(ident), schema)).filter(where.column()).select("_file", "_at"))
+        return self.mark_deleted(reduce(lambda a, b: a.union(b), found), user) if found else 0
+
+    def _positions(self, entries: list[Entry]) -> list[tuple[int, DataFrame]]:
+        """Schema id and rows as they are in files, deleted ones too, with _file and _at."""
+        out = []
+        for ident in sorted({e.file.schema_id for e in entries}):
+            struct = T.StructType([T.StructField(f.name, f.dataType) for f in self.schema_of(ident).struct])
+            df = self.spark.read.schema(struct).parquet(*(self.uri(e.file.path) for e in entries if e.file.schema_id == ident))
+            out.append((ident, df.select("*", self.key_column().alias("_file"), F.col("_metadata.row_index").alias("_at"))))
+        return out
+
+    def positions(self) -> DataFrame:
+        """(_file, _at) and the columns of the latest rows, for mark_deleted and is_deleted."""
+        schema, latest = self.schema, self.meta.latest()
+        parts = [df.select("_file", "_at", *mapped(df, self.schema_of(i), schema)) for i, df in self._positions(self._plan(latest, schema, schema.opts).raw)]
+        return reduce(lambda a, b: a.union(b), parts)
+
+    def _deleted(self, vectors: list[dict]) -> DataFrame:
+        gone = self.spark.read.schema("_file string, _at long").parquet(*(self.uri(v["path"]) for v in vectors))
+        return F.broadcast(gone) if sum(sum(v["files"].values()) for v in vectors) <= BROADCAST_ROWS else gone
+
+    def is_deleted(self, positions: DataFrame) -> DataFrame:
+        """positions (_file, _at) with is_deleted."""
+        known = self._vectors(self.meta.latest())
+        if not known:
+            return positions.withColumn("is_deleted", F.lit(False))
+        return positions.join(self._deleted(known).withColumn("is_deleted", F.lit(True)), ["_file", "_at"], "left").withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
 
     def mark_deleted(self, positions: DataFrame, user: str = "writer") -> int:
-        """positions: (_file, _at) of rows that aren't deleted yet."""
-        path = f"index/dv-{uuid.uuid4().hex}"
-        positions.select(F.col("_file").cast("string").alias("_file"), F.col("_at").cast("long").alias("_at")).write.parquet(f"{self.path}/{path}")
-        latest = self.meta.latest()
-        counts = {r["_file"]: r["n"] for r in self.spark.read.parquet(f"{self.path}/{path}").groupBy("_file").agg(F.count("*").alias("n")).collect()}  # a row for each file
-        paths = {e.file.name: e.file.path for e in self.meta.entries(latest)}
+        """positions: (_file, _at), with or without repeats. Returns how many of these rows weren't deleted before."""
+        path, latest = f"index/dv-{uuid.uuid4().hex}", self.meta.latest()
+        new = positions.select(F.col("_file").cast("string").alias("_file"), F.col("_at").cast("long").alias("_at")).distinct()
+        if known := self._vectors(latest):
+            new = new.join(self._deleted(known), ["_file", "_at"], "left_anti")
+        new.write.parquet(f"{self.path}/{path}")
+        counts = {r["_file"]: r["n"] for r in self.spark.read.schema("_file string, _at long").parquet(f"{self.path}/{path}").groupBy("_file").agg(F.count("*").alias("n")).collect()}  # a row for each file
+        paths = {self.key_of(e.file.path): e.file.path for e in self.meta.entries(latest)}
         if stray := set(counts) - set(paths):
             raise ValueError(f"files {sorted(stray)[:3]} are not in the table")
         if counts:
