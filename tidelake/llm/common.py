@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of one to three longs that are broadcast (72 bytes a row as sent, so 18 MB at most); more are joined by a shuffle.
+FEW = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach; removed when the driver's JVM ends.
 
-    Where that setting is unset (tests), a folder of this machine stands in.
+    Where that setting is unset, a folder of this machine stands in, if this machine is all there is: else it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
     path = f"{root.rstrip('/')}/tidelake-{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -40,6 +44,12 @@ def stored(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows. Where it has many, hot keys of the other side are left to AQE,
+    which splits them, as this side has each key once."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

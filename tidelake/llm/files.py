@@ -8,8 +8,13 @@ import numpy as np
 from pyarrow import fs as pafs
 
 
+#: Schemes that Hadoop and this library call differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split(":", 1)
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def publish(uri: str, chunks) -> None:
@@ -59,6 +64,14 @@ class ByteLevel:
         return [i for p in self.cut.split(text) for i in ([self.special[p]] if p in self.special else self.own.encode_ordinary(p))]
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The special tokens of a tokenizer's JSON file, and their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 _LOADED: dict[tuple, ByteLevel] = {}
 
 

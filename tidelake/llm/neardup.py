@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as S
-from .common import stored, table
+from .common import few, stored, table
 
 MISSED, SIGMAS = 1e-6, 5.5
 #: Texts, and shingles of all texts together, in a block; followers that are compared with one copy of their leader.
 BLOCK, BLOCK_SHINGLES, FOLLOWERS = 2048, 4_000_000, 512
-#: Rows of one to three longs that are broadcast (72 bytes a row as sent, so 18 MB at most); more are joined by a shuffle.
-FEW = 250_000
 #: Texts in a cluster that is compared as a whole; in larger ones, only texts that share a bucket are.
 CLUSTER = 4096
 
@@ -65,12 +63,6 @@ def sketched(docs: DataFrame, shingle: int, with_sets: bool = False) -> DataFram
     return docs.select("_id", "_text").mapInArrow(read, "_id long, _key binary, _n long, _sketch binary" + ", _set binary" * with_sets)
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it has few rows. Where it has many, hot keys of the other side are left to AQE,
-    which splits them, as this side has each key once."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every end of an edge (a, b): label is the least id that can be reached.
 
