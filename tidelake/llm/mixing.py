@@ -5,7 +5,7 @@ driver, which only sees one row for each source, turns target weights into exact
 quotas down a binary tree whose leaves are output shards: at every node the left half's blocks come from the sources as
 a multivariate-hypergeometric draw. Block b of a source has the rank that a keyed permutation (a Feistel network with
 cycle walking) gives it; leaf by leaf, the ranks are taken in order, so shards hold disjoint blocks of each pass over a
-source, and each shard is then shuffled by itself. All work on rows is DataFrame operations, and nothing is random but
+source: what no leaf has room for isn't drawn. Each shard is then shuffled by itself. All work on rows is DataFrame operations, and nothing is random but
 the seed: reruns agree.
 """
 
@@ -30,6 +30,10 @@ LAID_TOGETHER = 4096
 MOST_SOURCES = 100_000
 #: Rounds and steps of the permutation.
 ROUNDS, WALK = 4, 32
+#: Words that a task of the shuffled mix holds, about, and the most tasks; rows of two hashes that are broadcast.
+TASK_WORDS, MOST_TASKS, FEW = 4_000_000, 50_000, 250_000
+#: What tells rows of different ident, source or text apart: 128 bits.
+SAME = ("_hash", "_twin")
 
 
 def targets(sizes: list[int], weights: list[float], total: float | None = None, most: float = 3.0) -> list[float]:
@@ -104,8 +108,8 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]
 
 def permuted(index: Column, n: Column, side: Column, keys: list[Column]) -> Column:
     """The rank of a block by a keyed permutation of 0 .. n-1: a Feistel network on the square of `side` (side * side >= n),
-    walked until it lands below n. A walk meets the 2 * side values outside at most once each, and each step ends there
-    with a chance of 2 / side at most: WALK steps suffice for certain up to side 16, and beyond but for one in 10^28."""
+    walked until it lands below n. A walk meets the 2 * side values outside at most once each, so 2 * side steps end it for
+    certain; all but one in 10^28 end within WALK, and only those go on."""
 
     def once(x: Column) -> Column:
         b = F.pmod(x, side)
@@ -114,11 +118,16 @@ def permuted(index: Column, n: Column, side: Column, keys: list[Column]) -> Colu
             a, b = b, F.pmod(a + F.pmod(F.xxhash64(b, k), side), side)
         return a * side + b
 
-    return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), once(index), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    def walked(x: Column, steps: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), steps.cast("long")), x, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+    some = F.array(walked(once(index), F.lit(WALK)))
+    return F.element_at(F.transform(some, lambda x: F.when(x < n, x).otherwise(walked(x, 2 * side))), 1)
 
 
 def plan(sizes: list[tuple[str | None, int]], weights: list[float], shards: int, seed: int, most: float = 3.0) -> list[dict]:
-    """One row for each source: its target in words, its blocks, passes and the ranks where each shard's part begins."""
+    """One row for each source: its target in words, its blocks, and where each shard's part of its turns ends, as the
+    tree's leaves say: turn t is block rank t modulo blocks, in pass t / blocks."""
     goal = targets([n for _, n in sizes], weights, most=most)
     rows = []
     for (source, size), target in zip(sizes, goal, strict=True):
@@ -127,12 +136,13 @@ def plan(sizes: list[tuple[str | None, int]], weights: list[float], shards: int,
         rows.append({"source": source, "source_size": size, "target": target, "blocks": blocks, "quota": quota, "side": math.isqrt(max(blocks - 1, 0)) + 1,
                      "each": size // blocks if blocks else 0, "longer": size % blocks if blocks else 0})
     for row, counts in zip(rows, zip(*splitting_tree([r["quota"] for r in rows], shards, seed), strict=True) if rows else [], strict=True):
-        row["starts"] = [0, *accumulate(counts)][:-1]
+        row["ends"] = list(accumulate(counts))
     return rows
 
 
-def row_hash(ident: str, text: str, source: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(ident), F.col(source), F.coalesce(F.col(text), F.lit("")))
+def row_hashes(ident: str, text: str, source: str, seed: int) -> list[Column]:
+    own = (F.col(ident), F.col(source).isNull(), F.col(source), F.coalesce(F.col(text), F.lit("")))
+    return [F.xxhash64(F.lit(seed), *own).alias(SAME[0]), F.xxhash64(F.lit(~seed), F.lit(1), *own).alias(SAME[1])]
 
 
 def lay(df: DataFrame, ident: str, text: str, source: str, seed: int) -> tuple[DataFrame, dict]:
@@ -141,7 +151,7 @@ def lay(df: DataFrame, ident: str, text: str, source: str, seed: int) -> tuple[D
     Documents are dealt to (source, hash) buckets; a bucket's start is the sum of those before it, so a source that holds
     most rows is spread over as many tasks as its rows need."""
     rows = stored(df.select(F.col(ident).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), n_words(F.col(text)).alias("_size"),
-                            row_hash(ident, text, source, seed).alias("_hash")), "mix-rows")
+                            *row_hashes(ident, text, source, seed)), "mix-rows")
     total = rows.groupBy("_source").agg(F.sum("_size").alias("words"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(total) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -151,16 +161,16 @@ def lay(df: DataFrame, ident: str, text: str, source: str, seed: int) -> tuple[D
     sums = rows.groupBy("_source", "_deal").agg(F.sum("_size").alias("_sum"))
     before = sums.select(F.col("_source").alias("_s"), F.col("_deal").alias("_d"),
                          (F.sum("_sum").over(Window.partitionBy("_source").orderBy("_deal")) - F.col("_sum")).alias("_before"))
-    own = F.sum("_size").over(Window.partitionBy("_source", "_deal").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    own = F.sum("_size").over(Window.partitionBy("_source", "_deal").orderBy("_hash", "_twin", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     laid = rows.withColumn("_own", own).join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_deal") == F.col("_d")))
-    laid = stored(laid.select("_id", "_source", "_size", "_hash", (F.col("_own") + F.col("_before")).alias("_start")), "mix-laid")
+    laid = stored(laid.select("_id", "_source", "_size", *SAME, (F.col("_own") + F.col("_before")).alias("_start")), "mix-laid")
     return laid, {r["_source"]: r["words"] for r in total}
 
 
 def mix(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, seed: int = 17, most: float = 3.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Draws the mix. Returns the documents as laid on their sources' lines, one row for each drawn part, and the plan.
 
-    Columns of a part: _id, _source, _size, _hash (of the row), _start, pass (which pass over the source, from 0), shard, place (an order within the
+    Columns of a part: _id, _source, _size, _hash and _twin (of the row), _start, pass (which pass over the source, from 0), shard, place (an order within the
     shard that mixes all sources), from_word and n_words. weights: by source; None: 1, 2, 3, repeating, over the sources
     in code point order, null last. A null text has no words and is never drawn; a null source is a source of its own;
     repeated rows are rows of their own; an empty table gives no rows.
@@ -171,7 +181,7 @@ def mix(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text:
     weight = [float(weights.get(s, 0)) for s, _ in sizes] if weights is not None else [1.0 + i % 3 for i in range(len(sizes))]
     rows = plan(sizes, weight, shards, seed, most)
     planned = planned_table(spark, rows)
-    doc = laid.join(F.broadcast(planned), F.col("_source").eqNullSafe(F.col("source"))).filter("_size > 0 and quota > 0")  # MOST_SOURCES rows at most
+    doc = laid.join(F.broadcast(planned), F.col("_source").eqNullSafe(F.col("source"))).withColumn("_drawn", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0))).filter("_size > 0 and _drawn > 0")  # MOST_SOURCES rows at most
     # the first `longer` blocks have `each` + 1 words, the others `each`
     edge = F.col("longer") * (F.col("each") + 1)
     whole_of = lambda a, b: F.floor(a / b).cast("long")
@@ -182,48 +192,74 @@ def mix(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text:
     low = F.greatest(start_of(block), F.col("_start"))
     part = part.withColumn("from_word", low - F.col("_start")).withColumn("n_words", F.least(start_of(block + 1), end) - low)
     part = part.withColumn("_rank", permuted(block, F.col("blocks"), F.col("side"), [F.xxhash64(F.lit(seed), F.lit(i), F.col("_source")) for i in range(ROUNDS)]))
-    whole = whole_of(F.col("quota"), F.col("blocks"))
-    drawn = part.withColumn("_passes", whole + F.when(F.col("_rank") < F.pmod("quota", "blocks"), 1).otherwise(0)).filter("_passes > 0")
+    whole = whole_of(F.col("_drawn"), F.col("blocks"))
+    drawn = part.withColumn("_passes", whole + F.when(F.col("_rank") < F.pmod("_drawn", "blocks"), 1).otherwise(0)).filter("_passes > 0")
     drawn = drawn.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)))
     turn = F.col("pass") * F.col("blocks") + F.col("_rank")
-    drawn = drawn.withColumn("shard", (F.size(F.filter("starts", lambda s: s <= turn)) - 1).cast("int"))
+    drawn = drawn.withColumn("shard", F.size(F.filter("ends", lambda e: e <= turn)).cast("int"))  # the leaf that this turn falls to
     place = F.xxhash64(F.lit(seed), "_source", "_block", "pass")
-    return laid, drawn.select("_id", "_source", "_size", "_hash", "_start", "pass", "shard", place.alias("place"), "from_word", "n_words"), planned
+    return laid, drawn.select("_id", "_source", "_size", *SAME, "_start", "pass", "shard", place.alias("place"), "from_word", "n_words"), planned
 
 
 def planned_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "source string, source_size long, target double, blocks long, quota long, side long, each long, longer long, starts array<long>")
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "source string, source_size long, target double, blocks long, quota long, side long, each long, longer long, ends array<long>")
 
 
-def shuffled(drawn: DataFrame, shards: int) -> DataFrame:
-    """Each shard in one partition, its blocks in a mixed order; a block's documents stay side by side."""
-    return drawn.repartition(shards, "shard").sortWithinPartitions("shard", "place", "_source", "_start", "from_word")
+def shuffled(parts: DataFrame, shards: int, words: int) -> DataFrame:
+    """Shard after shard, each in an order that mixes its blocks (place is a hash). A shard is cut by place into as many
+    tasks as its words need, so that no shard, however large, is one task's."""
+    tasks = min(MOST_TASKS, max(1, -(-words // TASK_WORDS)))
+    at = (F.col("shard") + F.col("place") / float(1 << 64) + 0.5) / shards * tasks
+    task = F.least(F.floor(at), F.lit(tasks - 1)).cast("int")
+    return parts.repartitionById(tasks, task).sortWithinPartitions("shard", "place", "_source", "_start", "pass")
 
 
 def mixed(df: DataFrame, weights: dict | None = None, ident: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, seed: int = 17, most: float = 3.0) -> DataFrame:
-    """The mix's texts with df's columns: a row for each pass over a document, with the words that the pass takes of it.
+    """The mix's texts with df's columns, shard after shard and shuffled in each: a row for the words that one pass over a
+    document gives to one shard.
 
-    A document that is taken whole keeps its text as it is; of others, the drawn blocks' words stay, joined by spaces.
-    Documents of which nothing is taken go. Rows that are equal in ident, source and text count as often as they occur."""
-    _, drawn, _ = mix(df, weights, ident, text, source, shards, seed, most)
+    A document that goes whole to a shard keeps its text as it is; of others, the drawn blocks' words stay, joined by spaces.
+    Documents of which nothing is taken go, and with them those without words. Rows that are equal in ident, source and text
+    are drawn as often as they occur, each with its own other columns. An empty table gives no rows."""
+    laid, drawn, planned = mix(df, weights, ident, text, source, shards, seed, most)
     part = F.struct(F.col("from_word").cast("int").alias("at"), F.col("n_words").cast("int").alias("n"))
-    taken = drawn.groupBy("_hash", "_start", "_size", "pass").agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.sum("n_words").alias("_taken"))  # a document's blocks
+    taken = drawn.groupBy(*SAME, "_source", "_start", "_size", "pass", "shard").agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.sum("n_words").alias("_taken"), F.min("place").alias("place"))  # a document's blocks
     whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))  # whatever df's columns are called
-    docs = df.select(row_hash(ident, text, source, seed).alias("_hash"), whole.alias("_row")).dropDuplicates(["_hash"])
+    docs = df.select(*row_hashes(ident, text, source, seed), whole.alias("_row"))
+    twins = stored(laid.filter("_size > 0").groupBy(*SAME).agg(F.count("*").alias("_n")).filter("_n > 1").select(*SAME), "mix-twins")
+    if n := twins.count():  # equal rows are numbered on both sides: which of them has which number is all the same
+        twins = F.broadcast(twins) if n <= FEW else twins
+        nth = lambda *order: F.row_number().over(Window.partitionBy(*SAME).orderBy(*order))
+        own = laid.filter("_size > 0").join(twins, list(SAME), "left_semi").select(*SAME, "_source", "_start", nth("_start").alias("_nth"))
+        again = taken.withColumnRenamed("_source", "_s").join(own.withColumnRenamed("_start", "_at"), list(SAME)).filter("_start = _at and _s <=> _source").drop("_at", "_s")
+        again = docs.join(twins, list(SAME), "left_semi").withColumn("_nth", nth(F.xxhash64("_row"))).join(again, [*SAME, "_nth"]).drop("_nth")
+        once = docs.join(twins, list(SAME), "left_anti").join(taken.join(twins, list(SAME), "left_anti"), list(SAME))
+        out = once.unionByName(again)
+    else:
+        out = docs.join(taken, list(SAME))
     old = F.col(f"_row.`{text}`")
     cut = F.array_join(F.flatten(F.transform(F.array(words(old)), lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["at"] + 1, p["n"]))))), " ")
-    out = docs.join(taken.select("_hash", "_size", "_parts", "_taken"), "_hash")
     new = F.when(F.col("_taken") == F.col("_size"), old).otherwise(cut)
-    return out.select(*((new if c == text else F.col(f"_row.`{c}`")).alias(c) for c in df.columns))
+    out = out.select("shard", "place", "_source", "_start", "pass", *((new if c == text else F.col(f"_row.`{c}`")).alias(f"_c{i}") for i, c in enumerate(df.columns)))
+    total = planned.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    out = shuffled(out, shards, int(total))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    laid, drawn, planned = mix(table(spark, sf_dir, "documents"))
-    nothing = F.lit(0).cast("long")
-    both = laid.filter("_size > 0").select("_id", "_source", "_size", "_start", nothing.alias("n_words")).unionByName(drawn.select("_id", "_source", "_size", "_start", "n_words"))
-    taken = both.groupBy("_id", "_source", "_size", "_start").agg(F.sum("n_words").alias("taken"))
+    """What the mix takes of every document, and which shards get how many of its words (shard:words, joined by commas)."""
+    return takings(*mix(table(spark, sf_dir, "documents")))
+
+
+def takings(laid: DataFrame, drawn: DataFrame, planned: DataFrame) -> DataFrame:
+    """A row for each laid document: doc_id, size, source_size, target, taken and shards."""
+    nothing, nowhere = F.lit(0).cast("long"), F.lit(None).cast("int")
+    row = ["_id", "_source", "_size", "_start"]
+    both = laid.filter("_size > 0").select(*row, nowhere.alias("shard"), nothing.alias("n_words")).unionByName(drawn.select(*row, "shard", "n_words"))
+    each = both.groupBy(*row, "shard").agg(F.sum("n_words").alias("n"))
+    given = F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("shard", "n"))))  # as many as there are shards at most
+    taken = each.groupBy(*row).agg(F.sum("n").alias("taken"), F.array_join(F.transform(given, lambda x: F.concat_ws(":", x["shard"], x["n"])), ",").alias("shards"))
     # rows without words may share all four columns, and nothing is ever taken of them
-    taken = taken.unionByName(laid.filter("_size = 0").select("_id", "_source", "_size", "_start", nothing.alias("taken")))
-    out = taken.join(F.broadcast(planned), F.col("_source").eqNullSafe(F.col("source")))
-    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
+    taken = taken.unionByName(laid.filter("_size = 0").select(*row, nothing.alias("taken"), F.lit("").alias("shards")))
+    out = taken.join(F.broadcast(planned.select("source", "source_size", "target")), F.col("_source").eqNullSafe(F.col("source")))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken", "shards")
