@@ -18,6 +18,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,47 @@ NONE = 1 << 62
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SPLIT = re.compile(f"[{WHITE}]+")
 _MORE = re.compile("[\x1c-\x1f]")
+#: Ids that a decoder is fed at once.
+FED = 65_536
+#: Code points that may be assigned one day or are: the others are noncharacters, surrogates or for private use.
+POINTS = (*range(0x80, 0xD800), *range(0xF900, 0x40000), *range(0xE0000, 0xE1000))
+
+
+@lru_cache(4)
+def differences(path: str) -> tuple[tuple[str, str, str], ...]:
+    """(character, kind, lower case) where the tokenizers library's Unicode tables say other than Python's or the pattern
+    engine's: kind is L, N or O for a letter, a digit or another, as the file's pattern cuts them. The library is asked once
+    for each code point: what a letter is by the pieces that it makes, lower case and composition by its normalizers.
+
+    A character whose composition or place among combining marks differs is listed too, whatever its kind."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        pattern = next(p for p in json.load(f)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+    split, lower, nfc = pre_tokenizers.Split(Regex(pattern), "removed", invert=True), normalizers.Lowercase(), normalizers.NFC()
+    own, out = regex.compile(pattern), []
+
+    def kinds(chars: str, pieces) -> list[str]:
+        """By the pieces of "ac" and "!c" for every c: those that c joins."""
+        joined = []
+        for start in "a!":
+            at = dict(pieces(" ".join(start + c for c in chars)))
+            joined.append([at.get(3 * i) == 2 for i in range(len(chars))])
+        return ["L" if a else "O" if b else "N" for a, b in zip(*joined, strict=True)]
+
+    for points in batched(POINTS, 8192):
+        chars = "".join(map(chr, points))
+        theirs = kinds(chars, lambda s: [(a, b - a) for _, (a, b) in split.pre_tokenize_str(s)])
+        ours = kinds(chars, lambda s: [(m.start(), m.end() - m.start()) for m in own.finditer(s)])
+        tests = [[f"{before}{c}{after}" for c in chars] for before, after in (("", ""), ("a", "\u0334"), ("a\u0345", ""))]
+        bulk = [(nfc.normalize_str("\n".join(t)).split("\n"), [unicodedata.normalize("NFC", x) for x in t]) for t in tests]
+        lowered = lower.normalize_str("\n".join(chars)).split("\n")
+        for i, c in enumerate(chars):
+            if c in WHITE:
+                continue
+            if theirs[i] != ours[i] or lowered[i] != c.lower() or any(a[i] != b[i] for a, b in bulk):
+                out.append((c, theirs[i], lowered[i]))
+    return tuple(out)
 
 
 def byte_letters() -> list[str]:
@@ -46,7 +88,7 @@ def byte_letters() -> list[str]:
 class Tokenizer:
     """Vocabulary, merges and special tokens of a byte-level word tokenizer's file: NFC, lower case, a pattern for pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, differ: tuple | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -54,13 +96,18 @@ class Tokenizer:
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.named = self.names | {str(i): t for i, t in self.names.items()}
+        differ = differences(path) if differ is None else differ
+        self._differ = re.compile("[" + "".join(re.escape(c) for c, *_ in differ) + "]") if differ else None
+        self._stand = {ord(c): {"L": "a", "N": "1", "O": "!"}[kind] for c, kind, _ in differ}
+        self._lower = {c: low for c, _, low in differ}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"])
         letters = byte_letters()
         self.plain = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
         self.byte = {c: b for b, c in enumerate(letters)}
+        named, raw = self.names, {i: self._raw(t) for i, t in self.names.items()}
+        self.named, self.raw = ({**x, **{str(i): t for i, t in x.items()}} for x in (named, raw))  # by id, or by its digits
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.rank = {a << 32 | b: r for (a, b), (r, _) in self.merges.items()}
@@ -131,8 +178,7 @@ class Tokenizer:
         yield from self.merged([*(self.plain[b] for b in piece[at:-1]), self.last[piece[-1]]])
 
     def word(self, word: str) -> tuple[str, int]:
-        """Of a word without white space, in lower case (letters and digits as in the Unicode tables of the pattern's engine, which
-        know some hundred code points more than the tokenizers' own): its ids, joined by a space, and their number."""
+        """Of a word without white space, in lower case: its ids, joined by a space, and their number."""
         ids: list[int] = []
         for p in [word] if word.isascii() and word.isalpha() else self.cut(word):
             ids += self.pieces.get(p) or self._piece(p)
@@ -144,12 +190,10 @@ class Tokenizer:
         return out
 
     def cut(self, word: str) -> list[str]:
-        """The pieces of a word. Letters and digits are those of the Unicode version that the tokenizers know, which the
-        newer tables of the pattern's engine go beyond: code points unassigned there are neither."""
-        if word.isascii():
+        """The pieces of a word; where tables differ, the library's decide what is a letter or a digit."""
+        if word.isascii() or self._differ is None or not self._differ.search(word):
             return self.piece.findall(word)
-        known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in word)
-        return [word[m.start():m.end()] for m in self.piece.finditer(known)]
+        return [word[m.start():m.end()] for m in self.piece.finditer(word.translate(self._stand))]
 
     def _piece(self, piece: str) -> list[int]:
         out = list(self.transduce(piece.encode("utf-8", "surrogatepass")))
@@ -170,9 +214,15 @@ class Tokenizer:
         yield from self._parts(text[at:] if at else text)
 
     def _parts(self, text: str) -> Iterator[tuple[str, int]]:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
+        if not text.isascii() and self._differ is not None and self._differ.search(text):
+            from tokenizers import normalizers
+
+            text = normalizers.NFC().normalize_str(text)
+            text = "".join([self._lower.get(c) or c.lower() for c in text])
+        else:
+            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
         get, new = self.known.get, self.word
         for w in _SPLIT.split(text) if _MORE.search(text) else text.split():
             if w:
@@ -181,49 +231,58 @@ class Tokenizer:
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, n in self.parts(text or "") if n for i in ids.split(" ")]
 
-    def tokens(self, ids: Iterable[int | str]) -> str:
-        """What the library's decode gives for a file without a decoder: the tokens of ids (numbers, or their digits) joined
-        by a space, special ones too; ids that aren't in the vocabulary give nothing."""
-        return " ".join(filter(None, map(self.named.get, ids)))
+    def _raw(self, token: str) -> bytes:
+        """The bytes that a token stands for; the end of a word is a space, special tokens are their own text."""
+        if token in self.special:
+            return token.encode()
+        ends = bool(self.end) and token.endswith(self.end) and token != self.end
+        return bytes(self.byte[c] for c in (token.removesuffix(self.end) if ends else token)) + b" " * ends
 
     def decoder(self) -> Decoder:
         return Decoder(self)
 
 
 class Decoder:
-    """Turns ids into text one by one: bytes go through an incremental UTF-8 decoder, which holds at most three of them;
-    the end of a word is a space, special tokens are their own text."""
+    """Turns ids into text run by run, in constant memory. Its state is whether a token came before, for the rule that the
+    library follows where a file names no decoder (tokens as they are spelled, a space between them, special ones too; ids
+    that aren't in the vocabulary give nothing), and at most three bytes of an unfinished character, for the text that the
+    tokens' bytes spell; bytes that are no character become U+FFFD."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.own, self.utf8 = tokenizer, codecs.getincrementaldecoder("utf-8")("replace")
+        self.own, self.utf8, self.between = tokenizer, codecs.getincrementaldecoder("utf-8")("replace"), ""
 
-    def feed(self, ident: int) -> str:
-        own, token = self.own, self.own.names[ident]
-        if token in own.special:
-            return self.close() + token
-        ends = bool(own.end) and token.endswith(own.end) and token != own.end
-        raw = bytes(own.byte[c] for c in (token.removesuffix(own.end) if ends else token))
-        return self.utf8.decode(raw) + (self.close() + " " if ends else "")
+    def feed(self, ids: Iterable[int | str]) -> tuple[str, str]:
+        """What some more ids (numbers, or their digits) add: to the library's text, and to the text that bytes spell."""
+        ids = list(ids)
+        spelled = " ".join(filter(None, map(self.own.named.get, ids)))
+        out = self.between + spelled if spelled else ""
+        if spelled:
+            self.between = " "
+        return out, self.utf8.decode(b"".join(filter(None, map(self.own.raw.get, ids))))
 
     def close(self) -> str:
+        """What is left of an unfinished character."""
         out = self.utf8.decode(b"", True)
         self.utf8.reset()
         return out
 
 
 @lru_cache(4)
-def loaded(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def loaded(path: str, differ: tuple | None = None) -> Tokenizer:
+    return Tokenizer(path, differ)
 
 
 def encoded(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_tokens, ids: array of int) for each row; a null text counts as empty and has no ids."""
+    """(ident, n_tokens, ids: array of int) for each row; a null text counts as empty and has no ids. Rows are taken one by
+    one, so repeated rows, ties and null idents stay as they are; other columns are left out, whatever their names."""
+    differ = differences(path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(path)
+        own = loaded(path, differ)
         for b in batches:
             for at in range(0, len(b), 128):
-                ids = [np.fromstring(" ".join([p[0] for p in own.parts(t or "") if p[1]]) or " ", np.int32, sep=" ") for t in b.column(1).slice(at, 128).to_pylist()]
+                spelled = [" ".join([p[0] for p in own.parts(t or "") if p[1]]) for t in b.column(1).slice(at, 128).to_pylist()]
+                ids = [np.fromstring(x, np.int32, sep=" ") if x else np.empty(0, np.int32) for x in spelled]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
@@ -236,32 +295,42 @@ def decoded(df: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids") -
     """(ident, text) from arrays of ids, by the incremental decoder; null ids give an empty text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(path)
+        own = loaded(path, ())
         for b in batches:
             texts = []
             for x in b.column(1):
                 d = own.decoder()
-                texts.append("".join([*map(d.feed, x.as_py() or ()), d.close()]))
+                texts.append("".join([*(d.feed(run)[1] for run in batched(x.as_py() or (), FED)), d.close()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
     return df.select(F.col(ident).cast("long").alias("_id"), F.col(ids).alias("_ids")).mapInArrow(read, "_id long, text string").withColumnRenamed("_id", ident)
 
 
 def digests(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, n_tokens, ids_sha256, decoded_sha256): digests of the transducer's ids and of what they decode to, text by text."""
+    """(ident, n_tokens, ids_sha256, decoded_sha256, text_sha256): digests of the transducer's ids, and of both texts that the
+    decoder makes of them, the library's and the one that their bytes spell. A null text counts as empty; rows are taken
+    one by one, and other columns are left out, whatever their names."""
+    differ = differences(path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(path)
-        sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        own = loaded(path, differ)
         for b in batches:
             out = []
             for t in b.column(1):
                 parts = [p for p in own.parts(t.as_py() or "") if p[1]]
                 ids = " ".join([p[0] for p in parts])
-                out.append((sum(p[1] for p in parts), sha(ids), sha(own.tokens(ids.split(" ")) if ids else "")))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", ident)
+                decoder, digest, spelled = own.decoder(), hashlib.sha256(), hashlib.sha256()
+                for run in batched(ids.split(" "), FED) if ids else ():
+                    a, z = decoder.feed(run)
+                    digest.update(a.encode())
+                    spelled.update(z.encode())
+                spelled.update(decoder.close().encode())
+                out.append((sum(p[1] for p in parts), hashlib.sha256(ids.encode()).hexdigest(), digest.hexdigest(), spelled.hexdigest()))
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.string() if i else pa.int64()) for i in range(4))], names=["_id", *names])
+
+    kinds = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
+    return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, kinds).withColumnRenamed("_id", ident)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
