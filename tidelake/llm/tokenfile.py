@@ -1,10 +1,11 @@
 """Token ids in binary files: canonical length-limited Huffman codes from global counts.
 
 All texts are encoded once and their ids kept in a table; the ids are counted (a row for each id of the vocabulary at most
-reaches the driver), package-merge gives code lengths of 16 bits at most, and lengths alone fix the canonical codes. Each
+reaches the driver), package-merge gives code lengths of 16 bits at most (for more than 16,384 ids in use, two bits more than
+it takes to number them), and lengths alone fix the canonical codes. Each
 file holds a range of documents in ascending order. Its bits are cut into blocks that can be decoded by themselves; a
-checkpoint holds the bit at which each block begins. Decoding takes a table of all 2^16 prefixes and goes through all of a
-file's blocks side by side, one id of each at a time.
+checkpoint holds the bit at which each block begins. Decoding takes a table of all 2^16 prefixes, and a second one, which is
+searched, for codes that are longer; it goes through all of a file's blocks side by side, one id of each at a time.
 
 File: magic, header length, header (JSON: counts and section sizes), code lengths by id (zlib), bits (32-bit words, big
 endian, each document from a new word), documents' idents, numbers of ids, blocks' checkpoints (64-bit little endian).
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored, table, work_dir
-from .files import byte_level, publish, read, width
+from .files import byte_level, publish, read, special_tokens, width
 
 MAGIC, NO_IDENT = b"TLHUFF1\n", -(1 << 63)
 #: Longest code; ids in a block; ids in a file, about.
@@ -34,15 +35,19 @@ MOST_RANGES = 10_000
 TOGETHER = 256
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def longest(used: int) -> int:
+    """The most bits of a code for so many ids."""
+    return max(LIMIT, (max(used, 2) - 1).bit_length() + 2)
+
+
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most `limit` bits by package-merge; 0 for ids that don't occur. One id alone gets 1 bit."""
     own = np.flatnonzero(counts)
+    limit = longest(len(own)) if limit is None else limit
     out = np.zeros(len(counts), np.uint8)
     if len(own) < 2:
         out[own] = 1
         return out
-    if len(own) > 1 << limit:
-        raise ValueError(f"{len(own)} ids don't fit codes of {limit} bits")
     own = own[np.argsort(counts[own], kind="stable")]
     weight = counts[own].astype(np.float64)
     coins = [weight]  # by level: packages of two of the level below, merged with the ids themselves
@@ -76,15 +81,19 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of the next LIMIT bits: the id and how many bits it takes."""
+def decoding_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each value of the next LIMIT bits: the id and how many bits it takes, 0 if its code is longer. For longer codes:
+    their first values, ascending, in as many bits as the longest code has, and their ids; and that number of bits."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    span = 1 << (LIMIT - lengths[order].astype(np.int64))
-    ids, bits = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.uint8)
+    most = max(LIMIT, int(lengths.max(initial=0)))
+    short, long = order[lengths[order] <= LIMIT], order[lengths[order] > LIMIT]
+    span = 1 << (LIMIT - lengths[short].astype(np.int64))
     n = int(span.sum())
-    ids[:n], bits[:n] = np.repeat(order, span), np.repeat(lengths[order], span)
-    return ids, bits
+    ids, bits = np.zeros(1 << LIMIT, np.uint32), np.full(1 << LIMIT, 0 if len(long) else 1, np.uint8)
+    ids[:n], bits[:n] = np.repeat(short, span), np.repeat(lengths[short], span)
+    firsts = canonical(lengths)[long].astype(np.int64) << (most - lengths[long].astype(np.int64))
+    return ids, bits, firsts, long.astype(np.uint32), most
 
 
 def packed(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -112,7 +121,7 @@ def packed(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.nd
 
 def unpacked(raw: bytes, starts: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All ids of blocks of bits that begin at `starts` and hold `sizes` ids."""
-    ids, bits = decoding_table(lengths)
+    ids, bits, firsts, long, most = decoding_tables(lengths)
     words = np.concatenate([np.frombuffer(raw, ">u4").astype(np.uint64), np.zeros(2, np.uint64)])
     out = np.zeros(int(sizes.sum()), np.uint32)
     order = np.argsort(-sizes, kind="stable")
@@ -120,10 +129,15 @@ def unpacked(raw: bytes, starts: np.ndarray, sizes: np.ndarray, lengths: np.ndar
     for k in range(int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -k, "left"))  # blocks with more than k ids
         w, p = at[:n] >> 5, (at[:n] & 31).astype(np.uint64)
-        window = ((words[w] << np.uint64(32) | words[w + 1]) >> (np.uint64(64 - LIMIT) - p)) & np.uint64((1 << LIMIT) - 1)
+        window = ((words[w] << np.uint64(32) | words[w + 1]) >> (np.uint64(64 - most) - p)) & np.uint64((1 << most) - 1)
         window = window.astype(np.int64)
-        out[to[:n] + k] = ids[window]
-        at[:n] += bits[window]
+        head = window >> (most - LIMIT)
+        own, took = ids[head], bits[head].astype(np.int64)
+        if len(long) and (more := np.flatnonzero(took == 0)).size:
+            own[more] = long[np.searchsorted(firsts, window[more], "right") - 1]
+            took[more] = lengths[own[more]]
+        out[to[:n] + k] = own
+        at[:n] += took
     return out
 
 
@@ -131,7 +145,7 @@ def write_file(uri: str, idents: np.ndarray, sizes: np.ndarray, pieces: list[byt
     base = np.concatenate([[0], np.cumsum([len(p) * 8 for p in pieces])])[:-1].astype(np.int64)
     blocks = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(m, "<i8") + b for m, b in zip(marks, base, strict=True))])
     parts = [zlib.compress(lengths.tobytes(), 6), b"".join(pieces), idents.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), blocks.astype("<i8").tobytes()]
-    head = json.dumps({"docs": len(idents), "ids": int(sizes.sum()), "block": BLOCK, "limit": LIMIT, "parts": [len(p) for p in parts]}).encode()
+    head = json.dumps({"docs": len(idents), "ids": int(sizes.sum()), "block": BLOCK, "limit": int(lengths.max(initial=0)), "parts": [len(p) for p in parts]}).encode()
     publish(uri, [MAGIC, len(head).to_bytes(4, "little"), head, *parts])
 
 
@@ -184,7 +198,8 @@ def id_counts(rows: DataFrame, vocabulary: int) -> np.ndarray:
 def write(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int = 0, ident: str = "doc_id", text: str = "text", per_file: int = PER_FILE) -> DataFrame:
     """Writes all texts' ids to files in ascending order of ident, each text followed by the end id. Returns the list of files
     as a table: range, part, uri, docs, ids, first (ids in all files before). A null text counts as empty and holds the end
-    id alone; rows without an ident come first; rows with one ident stand together, in no fixed order. No rows, no files.
+    id alone; rows without an ident come first; rows with one ident stand together, ordered by number and codes of their
+    ids. Other columns are left out, whatever their names. No rows, no files.
 
     Documents are dealt by ranges of ident (approximate quantiles), sorted within each, and a file is closed once it holds
     per_file ids, so that a task holds no more than that."""
@@ -232,7 +247,7 @@ def write(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int
             yield done()
 
     coded = rows.select(key.alias("_id"), "_n", "_ids").mapInArrow(pack, "range int, _id long, _n long, _bits binary, _marks binary")
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "_id")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "_id", "_n", F.xxhash64("_bits"))
     files = stored(dealt.mapInArrow(save, "range int, part int, uri string, docs long, ids long"), "token-files")
     # ids before a file: those of the ranges before (MOST_RANGES rows), and of its range's files before
     ahead = files.groupBy("range").agg(F.sum("ids").alias("_ids")).select("range", (F.sum("_ids").over(Window.orderBy("range")) - F.col("_ids")).alias("_ahead"))
@@ -260,6 +275,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through files and back."""
     import public_tokenizers as P
 
-    encoder = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256})
-    files = write(table(spark, sf_dir, "documents"), work_dir(spark, "tokens"), encoder, 50257)
+    special = special_tokens(P.path("byte_bpe_50k.json"))
+    encoder = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special)
+    files = write(table(spark, sf_dir, "documents"), work_dir(spark, "tokens"), encoder, max(special.values()) + 1)
     return documents(files)
