@@ -11,7 +11,9 @@ import hashlib
 import json
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored as kept
 from .common import table
 
 #: Samples a second and the unit that payloads are padded to.
@@ -139,30 +142,56 @@ def _bmp(b: bytes, at: int):
 def _gzip(b: bytes, at: int):
     if b[at + 2:at + 3] != b"\x08" or len(b) - at < 18 or b[at + 3] & 0xE0:
         return None
-    own, n = zlib.decompressobj(31), 0
+    own, n, view, p = zlib.decompressobj(31), 0, memoryview(b), at
     try:
-        left = b[at:]
-        while left and not own.eof:
-            n += len(own.decompress(left, 1 << 20))
-            left = own.unconsumed_tail
+        while p < len(b) and not own.eof:  # piece by piece, so that what only looks like a start costs little
+            left = view[p:p + (1 << 16)]
+            p += len(left)
+            while left and not own.eof:
+                n += len(own.decompress(left, 1 << 20))
+                left = own.unconsumed_tail
     except zlib.error:
         return None
-    return (len(b) - len(own.unused_data), {"bytes": n}) if own.eof else None
+    return (p - len(own.unused_data), {"bytes": n}) if own.eof else None
+
+
+def places(b: bytes, mark: bytes) -> list[int]:
+    out, at = [], b.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = b.find(mark, at + 1)
+    return out
+
+
+@lru_cache(2)
+def _zip_ends(b: bytes) -> dict[int, tuple[int, int]]:
+    """Where archives begin, as their last records say: their ends and numbers of entries. Of two with one start, the first."""
+    out: dict[int, tuple[int, int]] = {}
+    for end in places(b, b"PK\x05\x06"):
+        if end + 22 <= len(b):
+            entries, size, offset = struct.unpack_from("<HII", b, end + 10)
+            first = end - size - offset
+            if first >= 0 and (not entries or b[first + offset:first + offset + 4] == b"PK\x01\x02"):
+                out.setdefault(first, (end + 22 + int.from_bytes(b[end + 20:end + 22], "little"), entries))
+    return out
 
 
 def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        entries, size, offset = struct.unpack_from("<HII", b, end + 10)
-        if at + offset + size == end and (not entries or b[at + offset:at + offset + 4] == b"PK\x01\x02"):
-            return end + 22 + int.from_bytes(b[end + 20:end + 22], "little"), {"entries": entries}
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    held = _zip_ends(b).get(at)
+    return (held[0], {"entries": held[1]}) if held else None
+
+
+@lru_cache(2)
+def _pdf_ends(b: bytes) -> tuple[list[int], list[int]]:
+    return places(b, b"%%EOF"), places(b, b"startxref")
 
 
 def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return (end + 5, {"version": b[at + 5:at + 8].decode("latin-1")}) if end >= 0 and b[at + 5:at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+    ends, refs = _pdf_ends(b)
+    i, j = bisect_left(ends, at), bisect_left(refs, at)
+    if i == len(ends) or j == len(refs) or refs[j] + 9 > ends[i] or not b[at + 5:at + 6].isdigit():
+        return None
+    return ends[i] + 5, {"version": b[at + 5:at + 8].decode("latin-1")}
 
 
 #: Magic bytes by format.
@@ -192,7 +221,8 @@ def found(b: bytes, own: ahocorasick.Automaton) -> list[tuple[str, int, int, dic
 def sniff(df: DataFrame, media: str, declared: str | None = None) -> DataFrame:
     """Adds type (as the bytes are; null if nothing is known to begin there), declared_ok and carved (type:start:end of
     what lies further inside, joined by commas). Null and empty bytes have no type; with no declared type, declared_ok is
-    null. Columns of df with these names are replaced."""
+    null. Columns of df with these three names are replaced, all others stay, whatever they are called; rows are taken one by
+    one, so repeated rows and ties stay as they are."""
 
     @F.pandas_udf("type string, carved string")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -201,13 +231,15 @@ def sniff(df: DataFrame, media: str, declared: str | None = None) -> DataFrame:
             rows = [found(bytes(x), own) if x is not None else [] for x in b]
             yield pd.DataFrame({"type": [r[0][0] if r and r[0][1] == 0 else None for r in rows], "carved": [",".join(f"{k}:{s}:{e}" for k, s, e, _ in r if s) for r in rows]})
 
-    out = df.withColumn("_look", look(F.col(media)))
-    says = F.lower(F.col(declared)).eqNullSafe(F.col("_look.type")) if declared else F.lit(None).cast("boolean")
-    return out.withColumn("declared_ok", says).withColumn("type", F.col("_look.type")).withColumn("carved", F.col("_look.carved")).drop("_look")
+    mine = ("type", "declared_ok", "carved")
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), look(F.col(f"`{media}`")).alias("seen"))
+    says = F.lower(F.col(f"row.`{declared}`")).eqNullSafe(F.col("seen.type")) if declared else F.lit(None).cast("boolean")
+    return whole.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in mine), F.col("seen.type").alias("type"), says.alias("declared_ok"), F.col("seen.carved").alias("carved"))
 
 
 def store(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, n_bytes, media): each text's padded bytes as a WAVE file. A null text counts as empty."""
+    """(_id, n_bytes, media): each text's padded bytes as a WAVE file. A null text counts as empty; rows are taken one by one,
+    null idents and repeated rows stay, and other columns are left out, whatever their names. No rows, no media."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +255,8 @@ def store(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def features(stored: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """Reads stored media: type and facts by the validators, the payload from the samples, digests and statistics."""
+    """Reads stored media, (_id, n_bytes, media) as store() makes it: type and facts by the validators, the payload from the
+    samples, digests and statistics. A row for each row."""
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton()
@@ -248,5 +281,5 @@ def features(stored: DataFrame, ident: str = "doc_id") -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as media and back."""
-    return features(store(table(spark, sf_dir, "documents")))
+    """Every document's text as media, written to the shared folder and read from there."""
+    return features(kept(store(table(spark, sf_dir, "documents")), "media"))
