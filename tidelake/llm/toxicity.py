@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-#: Bits of the hash, factors, prefixes in characters; labelled rows that a fit uses at most (those with the least hash).
-BITS, FACTORS, PREFIXES, MOST_LABELLED = 17, 8, (4, 5), 10_000
+#: Bits of the hash, factors, prefixes in characters; labelled rows that a fit uses at most, and distinct words of theirs in
+#: all (48 MB on the driver).
+BITS, FACTORS, PREFIXES, MOST_LABELLED, MOST_TERMS = 17, 8, (4, 5), 10_000, 4_000_000
 #: Texts that are scored together, words whose parts are remembered at once.
 TOGETHER, REMEMBERED = 256, 150_000
 MARKS = ".,;:!?\"'()[]{}*#$%&<>|_-–—«»¡¿…"
@@ -109,10 +110,15 @@ def _rows(texts: list[str | None], known: dict[str, tuple]) -> tuple[np.ndarray,
 
 
 def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
-    """Fits a machine to the labelled rows outside the held-out fifth, at most MOST_LABELLED of them."""
+    """Fits a machine to labelled rows outside the held-out fifth: those with the least hash of their ident, MOST_LABELLED of
+    them and MOST_TERMS distinct words in all at most. Two runs on the same rows give the same machine.
+
+    Labels other than 0 and 1 and rows without an ident don't count; of several labels of one ident the greatest does, of
+    several texts the one whose terms sort last. Null and empty texts have no terms. Without labels the machine calls
+    nothing toxic."""
     own = labels.select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    # a bounded broadcast: MOST_LABELLED rows
-    own = F.broadcast(own.orderBy(F.xxhash64("_id"), "_id", "_y").limit(MOST_LABELLED).groupBy("_id").agg(F.max("_y").alias("_y")))
+    order = [F.xxhash64("_id"), F.col("_id")]
+    own = F.broadcast(own.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(*order).limit(MOST_LABELLED))  # a bounded broadcast: MOST_LABELLED rows
     told = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).join(own, "_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +126,19 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
         for b in batches:
             texts = b.column("_text").to_pylist()
             for at in range(0, len(texts), TOGETHER):
-                raw = [_rows([t], known)[0].tobytes() for t in texts[at:at + TOGETHER]]
+                raw = [_rows([t], known)[0] for t in texts[at:at + TOGETHER]]
+                raw = [r[np.lexsort(r.T[::-1])].tobytes() for r in raw]  # in the same order whenever they are read
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(at, TOGETHER), b.column("_y").slice(at, TOGETHER), pa.array(raw, pa.binary())], ["_id", "_y", "_terms"])
 
-    got = sorted(map(tuple, told.mapInArrow(read, "_id long, _y int, _terms binary").limit(MOST_LABELLED).collect()), key=lambda r: (r[0], bytes(r[2])))
+    told = stored(told.mapInArrow(read, "_id long, _y int, _terms binary").groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_terms").alias("_terms")), "told")
+    wide = 4 * (1 + len(PREFIXES))
+    sizes = sorted((r["_h"], r["_id"], r["_n"]) for r in told.select(order[0].alias("_h"), "_id", F.octet_length("_terms").alias("_n")).collect())  # MOST_LABELLED rows of three numbers
+    ends = np.cumsum([n for *_, n in sizes]) if sizes else np.empty(0)
+    last = int(np.searchsorted(ends, wide * MOST_TERMS, "right"))
+    if last < len(sizes):
+        h, i, _ = sizes[last]
+        told = told.filter((order[0] < h) | (order[0] == h) & (F.col("_id") < i))
+    got = sorted(map(tuple, told.collect()), key=lambda r: r[0])  # 12 bytes for each of MOST_TERMS words at most
     rows = [np.frombuffer(r[2], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got]
     return fit(rows, np.array([r[1] for r in got], np.float64))
 
