@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, stored, table
+from .common import SPACE, few, stored, table
 
 SYMBOLS, BLANK = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Words in a window that counts as a repeat; limits of the base rules.
@@ -101,7 +101,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     first = {f"_l{i}{j}": F.greatest((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, F.lit(floors[i])) if i == j else F.lit(0.0) for j, i in PAIRS}
     now = stored(quart.select("_group", *(F.col(f"_q{i}")[1].alias(f"_m{i}") for i in range(P)), *(c.alias(n) for n, c in first.items())), "mcd")
     for _ in range(STEPS):
-        binned = core.join(now, "_group").withColumn("_bin", F.floor(BINS * F.log2(1 + distance())).cast("int"))
+        binned = core.join(few(now), "_group").withColumn("_bin", F.floor(BINS * F.log2(1 + distance())).cast("int"))
         sums = [F.count("*").alias("_n"), *(F.sum(f"_x{i}").alias(f"_s{i}") for i in range(P)), *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_t{i}{j}") for i, j in PAIRS)]
         bins = binned.groupBy("_group", "_bin").agg(*sums)
         all_, upto = Window.partitionBy("_group"), Window.partitionBy("_group").orderBy("_bin")
@@ -132,10 +132,11 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     rows = rows.select("*", F.to_json(F.array(lang_, source_)).alias("_own"), F.to_json(F.array(lang_)).alias("_lang"), (~F.col("base_failed")).alias("_core"), *(v.alias(f"_x{i}") for i, v in enumerate(vector())))
     rows = stored(rows, "quality")
     counts = rows.groupBy("_own", "_lang").agg(F.count_if("_core").alias("_n"))
-    small = F.sum(F.when(F.col("_n") < OWN_ROWS, F.col("_n")).otherwise(0)).over(Window.partitionBy("_lang"))
-    groups = counts.select("_own", F.when(F.col("_n") >= OWN_ROWS, F.col("_own")).when(small >= OWN_ROWS, F.col("_lang")).otherwise("rest").alias("_group"))
-    rows = rows.join(groups, "_own")
-    done = rows.join(estimates(rows), "_group", "left").withColumn("distance", distance())
+    counts = stored(counts, "quality-counts")
+    small = stored(counts.groupBy("_lang").agg(F.sum(F.when(F.col("_n") < OWN_ROWS, F.col("_n")).otherwise(0)).alias("_small")), "quality-langs")
+    groups = counts.join(few(small), "_lang").select("_own", F.when(F.col("_n") >= OWN_ROWS, F.col("_own")).when(F.col("_small") >= OWN_ROWS, F.col("_lang")).otherwise("rest").alias("_group"))
+    rows = rows.join(few(stored(groups, "quality-groups")), "_own")
+    done = rows.join(few(estimates(rows)), "_group", "left").withColumn("distance", distance())
     done = done.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
     return done.select(*(F.col(at[c]).alias(c) for c in df.columns if c != text and c not in mine), *mine)
