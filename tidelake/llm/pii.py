@@ -53,7 +53,8 @@ CONTEXT = {
 NEAR = 40
 #: Scores: for a match, a checksum that holds, and a word nearby; added kinds count from ENOUGH on, base kinds always.
 MATCHED, CHECKED, NEARBY, ENOUGH = 0.4, 0.4, 0.3, 0.7
-WHOLE, FOUND = "__whole_text__", "__found_spans__"
+#: Items whose outputs are gathered before they are joined; characters in a piece of a long text.
+TOGETHER, PIECE = 256, 4096
 SPAN = "array<struct<kind:string,start:long,end:long,hit:string>>"
 
 
@@ -98,27 +99,69 @@ def _holds(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once, whatever the optimizer does."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, state: Column, step, nothing: Column) -> Column:
+    """What step(state, item) -> (next state, output) puts out for each item in turn; `nothing` is an empty array of outputs.
+    Outputs are gathered TOGETHER by TOGETHER and joined at the end, so that long arrays aren't copied for every item."""
+
+    def one(acc: Column, x: Column) -> Column:
+        new, out = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def part(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["state"].alias("state"), nothing.alias("out")), one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), F.lit(TOGETHER))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice(xs, i, F.lit(TOGETHER)))
+        return F.aggregate(parts, F.struct(state.alias("state"), F.slice(F.array(nothing), 2, 1).alias("out")), part, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, whole)
+
+
+def pieces(text: Column) -> Column:
+    """A long text in pieces of PIECE characters, so that a place in it is found without reading from its start; short texts
+    have none."""
+    return F.when(F.length(text) > PIECE, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def between(text: Column, parts: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive) of a text with these pieces."""
+    of = lambda at: F.floor(at / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+    low, high = (start - of(start) * PIECE).cast("int"), (end - of(end) * PIECE).cast("int")
+    apart = F.concat(F.substr(piece(of(start)), low + 1), F.array_join(F.slice(parts, of(start) + 2, F.greatest(of(end) - of(start) - 1, F.lit(0))), ""), F.substr(piece(of(end)), F.lit(1), high))
+    long = F.when(of(start) == of(end), F.substr(piece(of(start)), low + 1, high - low)).otherwise(apart)
+    return F.when(F.size(parts) == 0, F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))).otherwise(long)
+
+
 def ibans(text: Column) -> Column:
     """All leftmost IBANs that don't overlap, with offsets in code points. Capitals and digits after a number look like more of
     it, so every part of a run that ends at a word's end is checked; of several that hold the longest counts."""
     pattern = PATTERNS["iban"]
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda gap, run: F.struct(gap.alias("gap"), run.alias("run")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("end"), F.array().cast(SPAN).alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("end"))
 
     def longest(run: Column) -> Column:
         words = F.split(run, " ")
         parts = F.transform(words, lambda _, i: F.array_join(F.slice(words, F.lit(1), i + 1), " "))
         return F.try_element_at(F.filter(parts, lambda part: _holds("iban", part)), F.lit(-1))
 
-    def add(acc: Column, x: Column) -> Column:
+    def add(acc: Column, x: Column) -> tuple[Column, Column]:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         span = F.struct(F.lit("iban").alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("hit"))
         new = x["hit"].isNotNull() & (start >= acc["end"])
-        return F.struct((start + 4).cast("long").alias("at"), F.when(new, end).otherwise(acc["end"]).cast("long").alias("end"), F.when(new, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((start + 4).cast("long").alias("at"), F.when(new, end).otherwise(acc["end"]).cast("long").alias("end")), F.when(new, span)
 
     checked = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), longest(x["run"]).alias("hit")))
-    return F.when(HINTS["iban"](text), F.aggregate(checked, zero, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    found = F.filter(running(checked, zero, add, F.array().cast(SPAN)), lambda s: s.isNotNull())
+    return F.when(HINTS["iban"](text), found).otherwise(F.array().cast(SPAN))
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -127,15 +170,14 @@ def matches(text: Column, kind: str) -> Column:
         return ibans(text)
     pattern = PATTERNS[kind]
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def add(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         span = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.cast("long").alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+        return end.cast("long"), F.when(x["hit"].isNotNull(), span)
 
-    found = F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+    found = F.filter(running(pairs, F.lit(0).cast("long"), add, F.array().cast(SPAN)), lambda s: s.isNotNull())
     return F.when(HINTS[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
@@ -143,25 +185,31 @@ def find(df: DataFrame, text: str = "text", name: str = "_spans") -> DataFrame:
     """Adds _spans (or another name): an array of (kind, start, end, score), by kind as listed in BASE and ADDED, then start; end exclusive.
 
     A null text counts as empty and has no spans. Rows are taken one by one, so nulls, ties and repeated rows elsewhere
-    don't matter; a column of df that is named _spans is replaced.
+    don't matter; a column of df that is named _spans is replaced, others may have any name. The work grows with a text's
+    length, however many spans it has.
     """
-    df = df.withColumn(WHOLE, F.coalesce(F.col(text), F.lit("")))
-    t = F.col(WHOLE)
-    kept = []
-    for kind in BASE + ADDED:
-        scored = F.transform(F.filter(matches(t, kind), _held(kind)), _scored(t, kind))
-        kept.append(scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= ENOUGH))
-    return df.withColumn(name, F.concat(*kept)).drop(WHOLE)
+    return df.withColumn(name, spans(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+
+
+def spans(text: Column) -> Column:
+    def of_text(t: Column, parts: Column) -> Column:
+        kept = []
+        for kind in BASE + ADDED:
+            scored = F.transform(F.filter(matches(t, kind), _held(kind)), _scored(t, parts, kind))
+            kept.append(scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= ENOUGH))
+        return F.concat(*kept)
+
+    return let(text, lambda t: let(pieces(t), lambda parts: of_text(t, parts)))
 
 
 def _held(kind: str):
     return lambda s: _holds(kind, s["hit"])
 
 
-def _scored(t: Column, kind: str):
+def _scored(t: Column, parts: Column, kind: str):
     def scored(s: Column) -> Column:
-        before = t.substr(F.greatest(s["start"] - NEAR + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int"))
-        near = F.lower(F.concat(before, F.lit(" "), t.substr((s["end"] + 1).cast("int"), F.lit(NEAR))))
+        before = between(t, parts, F.greatest(s["start"] - NEAR, F.lit(0).cast("long")), s["start"])
+        near = F.lower(F.concat(before, F.lit(" "), between(t, parts, s["end"], F.least(s["end"] + NEAR, F.length(t).cast("long")))))
         score = MATCHED + (CHECKED if kind in ("card", "amex", "iban", "ip", "phone") else 0) + F.when(near.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
@@ -174,20 +222,20 @@ def _listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Puts [EMAIL], [IP] and so on in the place of every span; of spans that overlap, the first one's name stays. A null
-    text stays null."""
-    out = find(df, text, FOUND)
-    t = F.coalesce(F.col(text), F.lit(""))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = t.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        name = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        pieces = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, name)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), pieces.alias("out"))
-
-    ordered = F.array_sort(F.transform(FOUND, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), t.substr((acc["at"] + 1).cast("int"), F.length(t))))
-    return out.withColumn(text, F.when(F.size(FOUND) > 0, done).otherwise(F.col(text))).drop(FOUND)
+    text stays null; rows are taken one by one, and other columns stay, whatever their names."""
+
+    def masked(t: Column, parts: Column, found: Column) -> Column:
+        def add(at: Column, s: Column) -> tuple[Column, Column]:
+            name = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.concat(between(t, parts, at, s["start"]), name))
+
+        ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(running(ordered, F.lit(0).cast("long"), add, F.array().cast("array<string>")), ""), between(t, parts, last, F.length(t).cast("long")))
+
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    done = let(whole, lambda t: let(spans(t), lambda found: F.when(F.size(found) > 0, let(pieces(t), lambda parts: masked(t, parts, found)))))
+    return df.withColumn(text, F.coalesce(done, F.col(f"`{text}`")))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
