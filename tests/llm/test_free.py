@@ -49,7 +49,31 @@ def test_transducer_equals_the_library(library, docs):
     own = bpe.loaded(WORD_BPE)
     for t in [*words_of_all_kinds(own.vocab), *(r["text"] for r in docs.collect())]:
         want = library[WORD_BPE].encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == want and own.tokens(want) == library[WORD_BPE].decode(want, skip_special_tokens=False)
+        assert own.encode(t) == want and fed(own, want)[0] == library[WORD_BPE].decode(want, skip_special_tokens=False)
+
+
+def fed(own, ids, run=7):
+    d = own.decoder()
+    got = [d.feed(ids[i:i + run]) for i in range(0, len(ids), run)]
+    return "".join(a for a, _ in got), "".join(z for _, z in got) + d.close()
+
+
+def test_code_points_of_every_kind_equal_the_library(library):
+    """All where the library's Unicode tables differ from ours, and every 61st of the others, between letters and digits."""
+    own = bpe.loaded(WORD_BPE)
+    points = {c for c, *_ in bpe.differences(WORD_BPE)} | {chr(c) for c in range(0, 0x110000, 61) if not 0xD800 <= c < 0xE000}
+    texts = [t for c in sorted(points) for t in (f"a{c}b 1{c}2", f"x{c}\u0301!{c}")]
+    assert [t for t, e in zip(texts, library[WORD_BPE].encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(t) != e.ids] == []
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_decoder_in_runs_of_any_length(library, run):
+    own, rng = bpe.loaded(WORD_BPE), random.Random(run)
+    for _ in range(60):  # ids at random: broken characters, special tokens, ids that no vocabulary has
+        ids = [rng.choice([rng.randrange(600), rng.randrange(49_408), 49_406, 49_407, 60_000]) for _ in range(rng.randrange(40))]
+        assert fed(own, ids, run)[0] == library[WORD_BPE].decode(ids, skip_special_tokens=False)
+        raw = b"".join(own.raw.get(i, b"") for i in ids)
+        assert fed(own, ids, run)[1] == fed(own, [str(i) for i in ids], run)[1] == raw.decode("utf-8", "replace")
 
 
 def test_lookahead_is_what_the_transducer_keeps():
@@ -62,10 +86,10 @@ def test_lookahead_is_what_the_transducer_keeps():
 
 def test_decoder_gives_the_text_back(spark, odd, docs):
     own = bpe.loaded(WORD_BPE)
-    d = own.decoder()
-    assert "".join([*map(d.feed, own.encode("Hello wörld 日本 <|endoftext|>")), d.close()]) == "hello wörld 日本 <|endoftext|>"
+    assert fed(own, own.encode("Hello wörld 日本 <|endoftext|>"))[1] == "hello wörld 日本 <|endoftext|>"
     out = bpe.encoded(odd, WORD_BPE)
-    assert out.count() == odd.count() and bpe.decoded(out, WORD_BPE).count() == odd.count()
+    back = {(r["doc_id"], r["text"]) for r in bpe.decoded(out, WORD_BPE).collect()}
+    assert out.count() == odd.count() and back == {(r["doc_id"], fed(own, own.encode(r["text"]))[1]) for r in odd.collect()}
 
 
 def test_op5(spark, library, docs, odd, none):
@@ -74,6 +98,7 @@ def test_op5(spark, library, docs, odd, none):
         ids = library[WORD_BPE].encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library[WORD_BPE].decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert r["text_sha256"] == hashlib.sha256(fed(bpe.loaded(WORD_BPE), ids)[1].encode()).hexdigest()
     assert bpe.digests(odd, WORD_BPE).count() == odd.count() and bpe.digests(none, WORD_BPE).count() == 0 and bpe.encoded(none, WORD_BPE).count() == 0
 
 
@@ -102,6 +127,21 @@ def test_code_lengths_are_optimal_and_limited():
     assert tokenfile.code_lengths(skewed).max() == 16
 
 
+def test_large_vocabularies_round_trip():
+    rng = np.random.default_rng(3)
+    n = 150_000
+    counts = np.maximum(1, (1e7 / (1 + np.arange(n)) ** 1.1)).astype(np.int64)
+    lengths = tokenfile.code_lengths(counts)
+    assert 16 < lengths.max() <= tokenfile.longest(n) and abs((0.5 ** lengths.astype(float)).sum() - 1) < 1e-9
+    ids = np.concatenate([rng.permutation(n), np.minimum(rng.geometric(0.001, 20_000), n - 1)]).astype(np.uint32)
+    sizes = np.array([100_000, 1, 69_999])
+    pieces, marks = tokenfile.packed(ids, sizes, lengths, tokenfile.canonical(lengths))
+    base = np.concatenate([[0], np.cumsum([8 * len(x) for x in pieces])])
+    starts = np.concatenate([np.frombuffer(m, "<i8") + b for m, b in zip(marks, base, strict=False)])
+    full = np.concatenate([[*([tokenfile.BLOCK] * ((s - 1) // tokenfile.BLOCK)), s - (s - 1) // tokenfile.BLOCK * tokenfile.BLOCK] for s in sizes])
+    assert (tokenfile.unpacked(b"".join(pieces), starts, full, lengths) == ids).all()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_bits_round_trip(seed):
     rng = np.random.default_rng(seed)
@@ -202,6 +242,23 @@ def test_formats_are_known_carved_and_checked(spark):
     assert [out[i]["type"] for i in range(6)] == ["png", "png", None, None, None, None] and [out[i]["declared_ok"] for i in range(6)] == [True, False, False, True, False, False] and out[5]["carved"].startswith("gif:2:")
 
 
+def test_many_marks_cost_no_more_than_their_bytes():
+    import time
+
+    own, z = media.automaton(), samples()["zip"]
+    began = time.time()
+    for mark, end in ((b"PK\x03\x04", b""), (b"%PDF-1", b""), (b"PK\x03\x04 ", b"PK\x05\x06" + b"\1" * 18), (b"%PDF-1 ", b"startxref %%EOF"), (b"\x1f\x8b\x08\0xyz", b"")):
+        media.found((mark * 40_000 + end * 40_000), own)
+    assert time.time() - began < 30
+    assert [(k, a, e) for k, a, e, _ in media.found(b"xx" + z + b"PK\x03\x04 tail" + z, own)] == [("zip", 2, 2 + len(z)), ("zip", len(z) + 11, 2 * len(z) + 11)]
+
+
+def test_sniffing_keeps_columns_of_any_name(spark, odd):
+    df = odd.withColumn("_look", F.lit("mine")).withColumn("a.b", F.lit(1)).withColumn("m", F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    out = media.sniff(df, "m")
+    assert out.columns == [*df.columns, "type", "declared_ok", "carved"] and out.filter("_look = 'mine'").count() == odd.count()
+
+
 def test_op3(spark, docs, odd, none):
     def check(df, rows):
         texts = collections.defaultdict(set)
@@ -234,6 +291,19 @@ def test_pairs_count_beyond_their_parts():
     assert np.mean((machine.score(*toxicity._rows(texts, {})) >= 0.5) == np.array(labels)) > 0.97
 
 
+def test_a_fit_is_bounded_and_repeats(spark, monkeypatch):
+    """However documents are dealt, repeated or long, two fits on the same rows are one; bounds hold for rows and for terms."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(i % 90))) for i in range(300)] + [(i, f"again {i}") for i in range(100)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(i, 1) for i in range(20)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 100)
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 2000)
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((sum(map(len, texts)), len(texts))) or fit(texts, y))
+    a, b = (toxicity.learn(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 2), (rows[::-1], 7)))
+    assert (a.weights == b.weights).all() and (a.factors == b.factors).all() and seen[0] == seen[1] and 0 < seen[0][0] <= 2000 and seen[0][1] <= 100
+
+
 def test_op8_learns_and_never_sees_the_held_out(spark, docs, odd, none):
     out = {r["doc_id"]: r for r in toxicity.op8(spark, SF).collect()}
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out.values())

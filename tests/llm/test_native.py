@@ -79,6 +79,49 @@ def test_ibans_before_capitals_and_digits(spark):
     assert pii.redact(df).first()["text"] == "To [IBAN] Please, [IBAN] BIC X"
 
 
+def test_texts_of_many_spans_in_linear_time(spark):
+    import time
+
+    unit = "é mail a.b@example.org, ip 10.0.0.1 and 4111 1111 1111 1111; "
+    rng = random.Random(3)
+    text = "".join(unit + "x" * rng.randrange(40) + " " for _ in range(34_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.time()
+    (row,) = pii.find(df).collect()
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["_spans"]] == base_spans(text) and len(row["_spans"]) == 102_000
+    masked = pii.redact(df).first()["text"]
+    assert masked == text.replace("a.b@example.org", "[EMAIL]").replace("10.0.0.1", "[IP]").replace("4111 1111 1111 1111", "[CARD]")
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("piece, together", [(4096, 256), (64, 2)])
+def test_added_spans_and_scores_equal_ones_by_hand(spark, monkeypatch, piece, together):
+    monkeypatch.setattr(pii, "PIECE", piece)
+    monkeypatch.setattr(pii, "TOGETHER", together)
+    rng = random.Random(9)
+    bits = ["SSN ", "219-09-9999", " social security ", "378282246310005", "371449635398431", "3782 822463 10005", " card ", "é", " ", "x" * 30, "+44 20 7946 0958", " call ", "-", "1", ". ", "a@b.co ", "10.0.0.1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 20))) for _ in range(600)]
+    plain = {"amex": r"(?<![0-9])(?<![0-9][\x20-])3[47](?:[\x20-]?[0-9]){13}(?![\x20-]?[0-9])", "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"}
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).orderBy("i").collect()
+    for t, r in zip(texts, got, strict=True):
+        want = []
+        for span in [*base_spans(t), *(f"{k}:{m.start()}:{m.end()}" for k, x in plain.items() for m in re.finditer(x, t) if k == "ssn" or luhn(re.sub("[^0-9]", "", m.group())))]:
+            kind, a, z = span.split(":")
+            near = (t[max(0, int(a) - 40):int(a)] + " " + t[int(z):int(z) + 40]).lower()
+            score = 0.4 + 0.4 * (kind in ("card", "amex", "ip", "phone")) + 0.3 * bool(re.search(pii.CONTEXT[kind], near))
+            if kind in pii.BASE or score >= 0.7:
+                want.append((span, round(min(score, 1.0), 6)))
+        assert [(f"{s['kind']}:{s['start']}:{s['end']}", round(s["score"], 6)) for s in r["_spans"]] == want
+    masked = [r["text"] for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).orderBy("i").collect()]
+    for t, r, m in zip(texts, got, masked, strict=True):
+        out, at = "", 0
+        for s in sorted(r["_spans"], key=lambda s: (s["start"], s["end"], s["kind"])):
+            if s["start"] >= at:
+                out += t[at:s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert m == out + t[at:]
+
+
 def test_pii_on_odd_rows(spark, odd, none):
     got = pii.find(odd).select("doc_id", "text", "_spans").collect()
     assert all([f"{s['kind']}:{s['start']}:{s['end']}" for s in r["_spans"] if s["kind"] in pii.BASE] == base_spans(r["text"] or "") for r in got)
@@ -278,6 +321,59 @@ def test_op2_keeps_repeated_rows_without_words(spark, odd, tmp_path):
     assert sum(r["size"] == 0 for r in out) == 4 * blank.count() and all(r["taken"] == 0 for r in out if r["size"] == 0)
 
 
+def test_mix_equals_one_drawn_by_hand(spark, monkeypatch):
+    """Blocks, ranks, leaves and words, from the documents' places on their sources' lines and the tree alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    laid, drawn, planned = mixing.mix(docs, shards=5)
+    got = {(r["doc_id"], r["size"]): r for r in mixing.takings(laid, drawn, planned).collect()}
+    plan = {r["source"]: r.asDict() for r in planned.collect()}
+    tree = mixing.splitting_tree([r["quota"] for r in plan.values()], 5, 17)
+    leaves = {s: [t[i] for t in tree] for i, s in enumerate(plan)}
+    ranks = {}
+    for s, r in plan.items():
+        keys = [F.xxhash64(F.lit(17), F.lit(i), F.lit(s)) for i in range(mixing.ROUNDS)]
+        ranks[s] = [x[0] for x in spark.range(r["blocks"]).select(mixing.permuted(F.col("id"), F.lit(r["blocks"]), F.lit(r["side"]), keys)).collect()]
+        assert sorted(ranks[s]) == list(range(r["blocks"])) and sum(leaves[s]) == r["quota"]
+    per_shard = collections.Counter()
+    for d in laid.collect():
+        r, own = plan[d["_source"]], collections.Counter()
+        of_word = [b for b in range(r["blocks"]) for _ in range(r["each"] + (b < r["longer"]))] if d["_size"] else []
+        for w in range(d["_start"], d["_start"] + d["_size"]):
+            turn = ranks[d["_source"]][of_word[w]]
+            while turn < r["quota"]:
+                at, shard = turn, 0
+                while at >= leaves[d["_source"]][shard]:
+                    at, shard = at - leaves[d["_source"]][shard], shard + 1
+                own[shard] += 1
+                turn += r["blocks"]
+        per_shard.update(own)
+        g = got[d["_id"], d["_size"]]
+        assert g["taken"] == sum(own.values()) and g["shards"] == ",".join(f"{k}:{own[k]}" for k in sorted(own))
+    assert len(per_shard) == 5
+    # another tree gives other rows, and one without room nothing
+    other = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed: other(quotas, shards, seed)[::-1])
+    assert sorted(map(repr, mixing.takings(*mixing.mix(docs, shards=5)).collect())) != sorted(map(repr, got.values()))
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed: [[0] * len(quotas)] * shards)
+    assert mixing.takings(*mixing.mix(docs, shards=5)).filter("taken > 0").count() == 0
+
+
+def test_mixed_rows_keep_their_own_columns_and_lie_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_WORDS", 200)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(40)), "ab"[i % 2], i) for i in range(30)] + [(0, " ".join(f"w0_{j}" for j in range(40)), "a", 100 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    out = mixing.mixed(df, shards=3)
+    laid, drawn, _ = mixing.mix(df, shards=3)
+    got = collections.Counter(w for r in out.collect() for w in r["text"].split())
+    want = collections.Counter()
+    for r in drawn.collect():
+        want.update(f"w{r['_id']}_{j}" for j in range(r["from_word"], r["from_word"] + r["n_words"]))
+    assert got == want and out.rdd.getNumPartitions() > 3
+    extras = {r["extra"] for r in out.filter("doc_id = 0").collect()}
+    drawn_copies = drawn.filter("_id = 0").select("_start").distinct().count()
+    assert len(extras) == drawn_copies and extras <= {0, 100, 101, 102}
+
+
 def test_mixed_texts_are_what_was_drawn(spark):
     rows = [(i, " ".join(f"w{i}_{j}" for j in range(400)), "s" + str(i % 3)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -291,4 +387,7 @@ def test_mixed_texts_are_what_was_drawn(spark):
 
 def test_shuffled_shards_hold_each_part_once(spark, odd):
     _, drawn, _ = mixing.mix(odd, shards=4)
-    assert mixing.shuffled(drawn, 4).count() == drawn.count() and drawn.select("shard").distinct().count() == 4
+    out = mixing.shuffled(drawn, 4, 40_000_000)
+    lists = [[(r["shard"], r["place"]) for r in part] for part in out.rdd.glom().collect()]
+    flat = [x for part in lists for x in part]
+    assert len(flat) == drawn.count() and flat == sorted(flat) and {s for s, _ in flat} == set(range(4)) and len(lists) == 10
