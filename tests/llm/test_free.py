@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidelake.llm import bpe, media, neardup, sketch, tokencount, tokenfile, toxicity
+from tidelake.llm import bpe, media, mixing, neardup, pii, sketch, tokencount, tokenfile, toxicity
 from tidelake.llm.common import work_dir
 
 WORD_BPE, BYTE_BPE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -463,12 +463,14 @@ def test_estimates_are_close():
 def test_pipeline(spark, docs):
     import corpus_pipeline as cp
 
+    from tests.llm.test_native import base_spans
+
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "bpe"]
     at = docs
     for i, (name, stage) in enumerate(cp.STAGES):
         new = cp.stored(stage(spark, at, SF), "test")
         if i < 4:
-            assert set(new.columns) == set(cp.COLUMNS)
+            assert new.columns == list(cp.COLUMNS)
         if name == "toxicity":
             machine = toxicity.learn(at, spark.read.parquet(f"{SF}/labels.parquet"))
             want = {r["doc_id"] for r in toxicity.score(at, machine).filter("score < 0.5").collect()}
@@ -477,11 +479,84 @@ def test_pipeline(spark, docs):
             truth = brute([(r["doc_id"], r["text"]) for r in at.collect()], 5, 0.8)
             assert {r["doc_id"] for r in new.collect()} == {d for d, (_, c) in truth.items() if d == c}
         if name == "pii":
-            from tests.llm.test_native import base_spans
-
-            assert new.count() == at.count() and not any(base_spans(r["text"]) for r in new.collect())
+            spans = {r["doc_id"]: r["_spans"] for r in pii.find(at).collect()}
+            texts = {r["doc_id"]: masked(r["text"], spans[r["doc_id"]]) for r in at.collect()}
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in new.collect()} == {d: (t, len(t)) for d, t in texts.items()}
+            assert not any(base_spans(r["text"]) for r in new.collect())
+        if name == "mixing":
+            check_mix(at, new)
         if name == "bpe":
             own = bpe.loaded(WORD_BPE)
             assert sorted(map(repr, ((r["doc_id"], r["ids"]) for r in new.collect()))) == sorted(map(repr, ((r["doc_id"], own.encode(r["text"])) for r in at.collect())))
         at = new
     assert cp.run(spark, SF).count() == at.count()
+
+
+def masked(text, spans):
+    out, at = "", 0
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"], s["kind"])):
+        if s["start"] >= at:
+            out += text[at:s["start"]] + f"[{s['kind'].upper()}]"
+        at = max(at, s["end"])
+    return out + text[at:]
+
+
+def check_mix(before, after):
+    """Words by document and source are those that the tree, the ranks and the documents' places give, near each target."""
+    laid, drawn, plan = mixing.mix(before)
+    texts = {r["doc_id"]: sketch_words(r["text"]) for r in before.collect()}
+    want, got, taken = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in drawn.collect():
+        want.update((r["_id"], w) for w in texts[r["_id"]][r["from_word"]:r["from_word"] + r["n_words"]])
+    for r in after.collect():
+        own = sketch_words(r["text"])
+        got.update((r["doc_id"], w) for w in own)
+        taken[r["source"]] += len(own)
+        assert r["n_chars"] == len(r["text"])
+    assert got == want
+    for r in plan.collect():
+        assert abs(taken[r["source"]] - r["target"]) <= 0.02 * r["target"] + 5
+
+
+def sketch_words(text):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(1, 0), (7, 1), (None, 1), (6, None), (10, 0), (11, 0), (8, 0), (14, 0), (9, 0), (12, 0)], "doc_id long, toxic int")
+    for name, df in (("odd", odd), ("none", none)):
+        (at := tmp_path / name).mkdir()
+        df.write.parquet(f"file://{at}/documents.parquet")
+        labels.withColumn("quality", F.lit(1)).write.parquet(f"file://{at}/labels.parquet")
+        for i, (stage, run) in enumerate(cp.STAGES):
+            out = run(spark, df, str(at))
+            rows = out.collect()
+            assert i == 4 or out.columns == list(cp.COLUMNS), stage
+            assert df is odd or not rows
+            if df is odd and stage == "toxicity":
+                assert {r["doc_id"] for r in rows} >= {None, 2, 3, 4} and len(rows) <= odd.count()
+            if df is odd and stage == "near_duplicates":
+                assert sorted((str(r["doc_id"]) for r in rows)) == sorted(str(i) for i in (1, 2, 3, 4, None, 5, 6, 8, 10, 11, 12, 13, 14))
+            if df is odd and stage == "pii":
+                assert len(rows) == odd.count() and {r["doc_id"]: r["text"] for r in rows}[2] is None and {r["doc_id"]: r["text"] for r in rows}[1].count("[") == 4
+            if df is odd and stage == "mixing":
+                words = collections.Counter(r["doc_id"] for r in odd.collect() for _ in sketch_words(r["text"]))
+                drawn = collections.Counter(r["doc_id"] for r in rows for _ in sketch_words(r["text"]))
+                assert set(drawn) <= set(words) and all(n <= 3 * words[d] for d, n in drawn.items()) and drawn[None] > 0
+            if df is odd and stage == "bpe":
+                own = bpe.loaded(WORD_BPE)
+                assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids"]) for r in rows) == sorted((str(r["doc_id"]), len(own.encode(r["text"])), own.encode(r["text"])) for r in odd.collect())
+        assert (cp.run(spark, str(at)).count() > 0) == (df is odd)
+
+
+def test_one_row_of_a_repeated_ident_stays(spark):
+    import corpus_pipeline as cp
+
+    a, b = ("shared words of one text that others have too " * 2).strip(), "quite another text with its own words in it"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 1), (None, a, "en", "s", 1), (None, a, "en", "s", 1)]
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("1", min(a, b)), ("None", a), ("None", a)])
