@@ -99,6 +99,13 @@ def _confirmed(set_a: bytes, set_b: bytes, threshold: float) -> bool:
     return round(1000 * threshold) * (len(a) + len(b) - both) <= 1000 * both
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, as rows hold whole sets."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -110,7 +117,7 @@ def led(rows: DataFrame, threshold: float) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []  # of an ident with several texts, all of them
-        for b in batches:
+        for b in small(batches):
             found = []
             for r in b.to_pylist():
                 if group != (r["_leader"], r["_share"]):
@@ -164,7 +171,7 @@ def blocked(rows: DataFrame, threshold: float) -> DataFrame:
         held: list[dict] = []
         key = lambda r: (r["_bucket"], r["_lo"], r["_hi"])
         found: list[tuple[int, int]] = []
-        for b in batches:
+        for b in small(batches):
             for r in b.to_pylist():
                 if held and key(held[0]) != key(r):
                     found += links(held)
