@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Words that are remembered, and the longest of them in characters; bytes that are merged at once, in lookaheads.
-REMEMBERED, LONGEST, WINDOW = 200_000, 64, 4
+#: Words that are remembered, by digests and (next to other operators' memories) by encoders, and the longest of them in characters; bytes that are merged at once, in lookaheads.
+REMEMBERED, FEWER, LONGEST, WINDOW = 400_000, 150_000, 64, 4
 NONE = 1 << 62
 #: Unicode's White_Space, which the tokenizer's \s stands for; Python's own notion has four more.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -88,7 +88,8 @@ def byte_letters() -> list[str]:
 class Tokenizer:
     """Vocabulary, merges and special tokens of a byte-level word tokenizer's file: NFC, lower case, a pattern for pieces."""
 
-    def __init__(self, path: str, differ: tuple | None = None):
+    def __init__(self, path: str, differ: tuple | None = None, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -97,7 +98,8 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         differ = differences(path) if differ is None else differ
-        self._differ = re.compile("[" + "".join(re.escape(c) for c, *_ in differ) + "]") if differ else None
+        self._differ = frozenset(c for c, *_ in differ)
+        self._beyond = re.compile(f"[{min(self._differ)}-\U0010ffff]") if differ else re.compile("(?!)")
         self._stand = {ord(c): {"L": "a", "N": "1", "O": "!"}[kind] for c, kind, _ in differ}
         self._lower = {c: low for c, _, low in differ}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -106,8 +108,7 @@ class Tokenizer:
         self.plain = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
         self.byte = {c: b for b, c in enumerate(letters)}
-        named, raw = self.names, {i: self._raw(t) for i, t in self.names.items()}
-        self.named, self.raw = ({**x, **{str(i): t for i, t in x.items()}} for x in (named, raw))  # by id, or by its digits
+        self.named, self.raw = {str(i): t for i, t in self.names.items()}, {str(i): self._raw(t) for i, t in self.names.items()}  # by the digits of ids
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.rank = {a << 32 | b: r for (a, b), (r, _) in self.merges.items()}
@@ -184,21 +185,25 @@ class Tokenizer:
             ids += self.pieces.get(p) or self._piece(p)
         out = (" ".join(map(str, ids)), len(ids))
         if len(word) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.known.clear()
             self.known[word] = out
         return out
 
+    def differs(self, text: str) -> bool:
+        """Whether a text has a character of which the library's tables say other than ours. Few texts have any as high."""
+        return not text.isascii() and self._beyond.search(text) is not None and not self._differ.isdisjoint(text)
+
     def cut(self, word: str) -> list[str]:
         """The pieces of a word; where tables differ, the library's decide what is a letter or a digit."""
-        if word.isascii() or self._differ is None or not self._differ.search(word):
+        if not self.differs(word):
             return self.piece.findall(word)
         return [word[m.start():m.end()] for m in self.piece.finditer(word.translate(self._stand))]
 
     def _piece(self, piece: str) -> list[int]:
         out = list(self.transduce(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= LONGEST:
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= self.remembered:
                 self.pieces.clear()
             self.pieces[piece] = out
         return out
@@ -214,7 +219,7 @@ class Tokenizer:
         yield from self._parts(text[at:] if at else text)
 
     def _parts(self, text: str) -> Iterator[tuple[str, int]]:
-        if not text.isascii() and self._differ is not None and self._differ.search(text):
+        if self.differs(text):
             from tokenizers import normalizers
 
             text = normalizers.NFC().normalize_str(text)
@@ -253,12 +258,16 @@ class Decoder:
 
     def feed(self, ids: Iterable[int | str]) -> tuple[str, str]:
         """What some more ids (numbers, or their digits) add: to the library's text, and to the text that bytes spell."""
-        ids = list(ids)
-        spelled = " ".join(filter(None, map(self.own.named.get, ids)))
+        ids = ids if isinstance(ids, (list, tuple)) and ids and isinstance(ids[0], str) else [str(i) for i in ids]
+        try:
+            spelled, raw = " ".join(map(self.own.named.__getitem__, ids)), b"".join(map(self.own.raw.__getitem__, ids))
+        except KeyError:
+            ids = [i for i in ids if i in self.own.named]
+            spelled, raw = " ".join(map(self.own.named.__getitem__, ids)), b"".join(map(self.own.raw.__getitem__, ids))
         out = self.between + spelled if spelled else ""
         if spelled:
             self.between = " "
-        return out, self.utf8.decode(b"".join(filter(None, map(self.own.raw.get, ids))))
+        return out, self.utf8.decode(raw)
 
     def close(self) -> str:
         """What is left of an unfinished character."""
@@ -268,8 +277,8 @@ class Decoder:
 
 
 @lru_cache(4)
-def loaded(path: str, differ: tuple | None = None) -> Tokenizer:
-    return Tokenizer(path, differ)
+def loaded(path: str, differ: tuple | None = None, remembered: int = REMEMBERED) -> Tokenizer:
+    return Tokenizer(path, differ, remembered)
 
 
 def encoded(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,7 +287,7 @@ def encoded(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text")
     differ = differences(path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(path, differ)
+        own = loaded(path, differ, FEWER)
         for b in batches:
             for at in range(0, len(b), 128):
                 spelled = [" ".join([p[0] for p in own.parts(t or "") if p[1]]) for t in b.column(1).slice(at, 128).to_pylist()]
@@ -317,15 +326,15 @@ def digests(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text")
         for b in batches:
             out = []
             for t in b.column(1):
-                parts = [p for p in own.parts(t.as_py() or "") if p[1]]
-                ids = " ".join([p[0] for p in parts])
+                ids = " ".join([p[0] for p in own.parts(t.as_py() or "") if p[1]])
                 decoder, digest, spelled = own.decoder(), hashlib.sha256(), hashlib.sha256()
-                for run in batched(ids.split(" "), FED) if ids else ():
-                    a, z = decoder.feed(run)
+                every = ids.split(" ") if ids else []
+                for at in range(0, len(every), FED):
+                    a, z = decoder.feed(every[at:at + FED] if len(every) > FED else every)
                     digest.update(a.encode())
                     spelled.update(z.encode())
                 spelled.update(decoder.close().encode())
-                out.append((sum(p[1] for p in parts), hashlib.sha256(ids.encode()).hexdigest(), digest.hexdigest(), spelled.hexdigest()))
+                out.append((len(every), hashlib.sha256(ids.encode()).hexdigest(), digest.hexdigest(), spelled.hexdigest()))
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.string() if i else pa.int64()) for i in range(4))], names=["_id", *names])
 
