@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words that are remembered, by digests and (next to other operators' memories) by encoders, and the longest of them in characters; bytes that are merged at once, in lookaheads.
-REMEMBERED, FEWER, LONGEST, WINDOW = 400_000, 150_000, 64, 4
+REMEMBERED, FEWER, LONGEST, WINDOW = 400_000, 80_000, 64, 4
 NONE = 1 << 62
 #: Unicode's White_Space, which the tokenizer's \s stands for; Python's own notion has four more.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -296,6 +296,8 @@ def encoded(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text")
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 128), pa.array(sizes), lists], names=["_id", "n_tokens", "ids"])
+        own.known.clear()  # the worker lives on, with other stages' tasks
+        own.pieces.clear()
 
     return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, "_id long, n_tokens long, ids array<int>").withColumnRenamed("_id", ident)
 

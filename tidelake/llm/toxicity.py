@@ -24,7 +24,7 @@ from .common import stored, table
 #: all (48 MB on the driver).
 BITS, FACTORS, PREFIXES, MOST_LABELLED, MOST_TERMS = 17, 8, (4, 5), 10_000, 4_000_000
 #: Texts that are scored together, words whose parts are remembered at once.
-TOGETHER, REMEMBERED = 256, 100_000
+TOGETHER, REMEMBERED = 256, 60_000
 MARKS = ".,;:!?\"'()[]{}*#$%&<>|_-–—«»¡¿…"
 
 
