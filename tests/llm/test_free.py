@@ -72,7 +72,7 @@ def test_decoder_in_runs_of_any_length(library, run):
     for _ in range(60):  # ids at random: broken characters, special tokens, ids that no vocabulary has
         ids = [rng.choice([rng.randrange(600), rng.randrange(49_408), 49_406, 49_407, 60_000]) for _ in range(rng.randrange(40))]
         assert fed(own, ids, run)[0] == library[WORD_BPE].decode(ids, skip_special_tokens=False)
-        raw = b"".join(own.raw.get(i, b"") for i in ids)
+        raw = b"".join(own.raw.get(str(i), b"") for i in ids)
         assert fed(own, ids, run)[1] == fed(own, [str(i) for i in ids], run)[1] == raw.decode("utf-8", "replace")
 
 
