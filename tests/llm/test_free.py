@@ -278,17 +278,23 @@ def test_op3(spark, docs, odd, none):
 # toxicity
 
 
-def test_pairs_count_beyond_their_parts():
-    """Two terms that are harmless alone and toxic together: weights alone can't tell, factors can."""
-    rng = random.Random(0)
-    texts, labels = [], []
-    for _ in range(3000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        texts.append(" ".join([*(["insultish"] if a else []), *(["peoplegroup"] if b else []), rng.choice(["zub", "kol", "mip"])]))
-        labels.append(float(a and b))
-    rows = [toxicity._rows([t], {})[0] for t in texts]
-    machine = toxicity.fit(rows, np.array(labels), epochs=30, sparse=0)
-    assert np.mean((machine.score(*toxicity._rows(texts, {})) >= 0.5) == np.array(labels)) > 0.97
+@pytest.mark.parametrize("others", [0, 2, 8])
+def test_pairs_count_beyond_their_parts(others):
+    """With the query's parameters: two pairs of words are toxic, the same words crossed aren't, so weights alone can't tell
+    (they can where both words must occur, which is linearly separable), and factors can."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(8000)]
+
+    def made(n):
+        kinds = [(i % 2, i // 2 % 2) for i in range(n)]
+        return [" ".join([("zzinsult", "wwpraise")[a], ("qqgroup", "jjobject")[b], *rng.sample(words, others)]) for a, b in kinds], np.array([a == b for a, b in kinds], float)
+
+    texts, labels = made(6000)
+    machine = toxicity.fit([toxicity._rows([t], {})[0] for t in texts], labels)
+    texts, labels = made(400)
+    assert np.mean((machine.score(*toxicity._rows(texts, {})) >= 0.5) == labels) > 0.95
+    machine.factors[:] = 0
+    assert np.mean((machine.score(*toxicity._rows(texts, {})) >= 0.5) == labels) < 0.6
 
 
 def test_a_fit_is_bounded_and_repeats(spark, monkeypatch):
