@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let_go, table
 
 #: Words that are remembered, by digests and (next to other operators' memories) by encoders, and the longest of them in characters; bytes that are merged at once, in lookaheads.
 REMEMBERED, FEWER, LONGEST, WINDOW = 400_000, 80_000, 64, 4
@@ -298,6 +298,7 @@ def encoded(df: DataFrame, path: str, ident: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 128), pa.array(sizes), lists], names=["_id", "n_tokens", "ids"])
         own.known.clear()  # the worker lives on, with other stages' tasks
         own.pieces.clear()
+        let_go()
 
     return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(read, "_id long, n_tokens long, ids array<int>").withColumnRenamed("_id", ident)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,11 @@ def n_words(text: Column) -> Column:
     blank = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
     edges = [t == "", F.substring(t, 1, 1).isin(blank), F.substring(t, -1, 1).isin(blank)]
     return sum((-e.cast("long") for e in edges), F.size(F.split(t, SPACE)).cast("long"))
+
+
+def let_go() -> None:
+    """At a task's end in Python: memory that is free goes back to the system, as the worker lives on beside other stages'."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # other C libraries give memory back by themselves
+        trim(0)

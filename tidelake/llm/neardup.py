@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as S
-from .common import few, stored, table
+from .common import few, let_go, stored, table
 
 MISSED, SIGMAS = 1e-6, 5.5
 #: Texts, and shingles of all texts together, in a block; followers that are compared with one copy of their leader.
@@ -59,6 +59,7 @@ def sketched(docs: DataFrame, shingle: int, with_sets: bool = False) -> DataFram
                     cols.append((S.digest(own) if own else None, len(s), S.registers(s).tobytes() if own else None, *([s.tobytes()] if with_sets else [])))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([c[i] for c in cols], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary())[: 3 + with_sets]))],
                                                  names=["_id", "_key", "_n", "_sketch", "_set"][: 4 + with_sets])
+        let_go()
 
     return docs.select("_id", "_text").mapInArrow(read, "_id long, _key binary, _n long, _sketch binary" + ", _set binary" * with_sets)
 
@@ -131,6 +132,8 @@ def led(rows: DataFrame, threshold: float) -> DataFrame:
                         found.append((r["_id"], x["_id"]))
                         break
             yield _links(found)
+        leaders.clear()
+        let_go()
 
     dealt = rows.repartition("_leader", "_share").sortWithinPartitions("_leader", "_share", F.col("_id") != F.col("_leader"))
     return dealt.mapInArrow(read, "a long, b long")
@@ -181,6 +184,8 @@ def blocked(rows: DataFrame, threshold: float) -> DataFrame:
             found = []
         if held:
             yield _links(links(held))
+            held.clear()
+        let_go()
 
     ordered = rows.repartition("_bucket", "_lo", "_hi").sortWithinPartitions("_bucket", "_lo", "_hi")
     return ordered.mapInArrow(read, "a long, b long")

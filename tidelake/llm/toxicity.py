@@ -13,12 +13,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import let_go, stored, table
 
 #: Bits of the hash, factors, prefixes in characters; labelled rows that a fit uses at most, and distinct words of theirs in
 #: all (48 MB on the driver).
@@ -129,6 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
                 raw = [_rows([t], known)[0] for t in texts[at:at + TOGETHER]]
                 raw = [r[np.lexsort(r.T[::-1])].tobytes() for r in raw]  # in the same order whenever they are read
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(at, TOGETHER), b.column("_y").slice(at, TOGETHER), pa.array(raw, pa.binary())], ["_id", "_y", "_terms"])
+        known.clear()
+        let_go()
 
     told = stored(told.mapInArrow(read, "_id long, _y int, _terms binary").groupBy("_id").agg(F.max("_y").alias("_y"), F.max("_terms").alias("_terms")), "told")
     wide = 4 * (1 + len(PREFIXES))
@@ -151,12 +152,14 @@ def score(df: DataFrame, machine: Machine, text: str = "text", name: str = "scor
     """Adds a score from 0 to 1. Null and empty texts get the bias's score; no other column is looked at."""
     sent = df.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, known = Machine(*sent.value), {}
         for texts in batches:
-            texts = [t if isinstance(t, str) else None for t in texts]
-            yield pd.Series(np.concatenate([np.empty(0), *(own.score(*_rows(texts[at:at + TOGETHER], known)) for at in range(0, len(texts), TOGETHER))]))
+            slices = (texts.slice(at, TOGETHER).to_pylist() for at in range(0, len(texts), TOGETHER))
+            yield pa.array(np.concatenate([np.empty(0), *(own.score(*_rows(some, known)) for some in slices)]))
+        known.clear()
+        let_go()
 
     return df.withColumn(name, scored(F.col(text)))
 
