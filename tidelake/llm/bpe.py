@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import batched
 
 import numpy as np
@@ -96,7 +96,6 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         differ = differences(path) if differ is None else differ
         self._differ = frozenset(c for c, *_ in differ)
         self._beyond = re.compile(f"[{min(self._differ)}-\U0010ffff]") if differ else re.compile("(?!)")
@@ -108,8 +107,7 @@ class Tokenizer:
         self.plain = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
         self.byte = {c: b for b, c in enumerate(letters)}
-        self.named, self.raw = {str(i): t for i, t in self.names.items()}, {str(i): self._raw(t) for i, t in self.names.items()}  # by the digits of ids
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model.pop("merges"))
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.rank = {a << 32 | b: r for (a, b), (r, _) in self.merges.items()}
         self.made = [t for _, t in self.merges.values()]
@@ -118,6 +116,16 @@ class Tokenizer:
         self.known: dict[str, tuple[str, int]] = {}
         self.pieces: dict[str, list[int]] = {}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        let_go()  # what reading the file took
+
+    @cached_property
+    def named(self) -> dict[str, str]:
+        """What decoders look up by the digits of an id; encoders don't need it."""
+        return {str(i): t for t, i in (self.vocab | self.special).items()}
+
+    @cached_property
+    def raw(self) -> dict[str, bytes]:
+        return {i: self._raw(t) for i, t in self.named.items()}
 
     def _lookahead(self) -> int:
         """How many bytes after a token can have a say in it: the reach of the furthest merge, plus the longest token,
