@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's full address. What has no scheme is a path in the default file system, as for Spark's own readers and
+    writers; Python workers, who don't know which one that is, are given this address."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach; removed when the driver's JVM ends.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import quote
 
 import numpy as np
 from pyarrow import fs as pafs
@@ -13,8 +15,11 @@ SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it of a full address (`common.qualified`). Paths are meant letter by letter, as Hadoop
+    reads them: blanks and percent signs are themselves."""
     scheme, rest = uri.split(":", 1)
-    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    host = re.match("(//[^/]*)?", rest)[0]
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{host}{quote(rest[len(host):], safe='/:')}")
 
 
 def publish(uri: str, chunks) -> None:
@@ -46,7 +51,6 @@ class ByteLevel:
 
     def __init__(self, path: str, pattern: str, special: dict[str, int]):
         import base64
-        import re
 
         import tiktoken
 

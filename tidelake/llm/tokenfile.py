@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table, work_dir
+from .common import qualified, stored, table, work_dir
 from .files import byte_level, publish, read, special_tokens, width
 
 MAGIC, NO_IDENT = b"TLHUFF1\n", -(1 << 63)
@@ -203,6 +203,7 @@ def write(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end: int
 
     Documents are dealt by ranges of ident (approximate quantiles), sorted within each, and a file is closed once it holds
     per_file ids, so that a task holds no more than that."""
+    folder = qualified(df.sparkSession, folder)
     rows = ids_table(df, encoder, vocabulary, end, ident, text)
     key = F.coalesce("_id", F.lit(NO_IDENT))
     total = rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
