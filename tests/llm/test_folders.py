@@ -1,4 +1,4 @@
-"""Token files in work folders whose address has no scheme, or letters that an address would escape."""
+"""Token files and flat files in work folders whose address has no scheme, or letters that an address would escape."""
 
 import types
 import zlib
@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 
 from tests.conftest import SF
-from tidelake.llm import files, tokenfile
+from tidelake.llm import files, tokencount, tokenfile
 
 ENCODER = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN, {"<|endoftext|>": 50256})
 
@@ -51,3 +51,16 @@ def test_addresses_keep_their_host_and_letters(monkeypatch):
     assert files.opened("file:///a%20b c/ü")[1] == files.opened("file:/a%20b c/ü")[1] == "/a%20b c/ü"
     monkeypatch.setattr(files, "pafs", types.SimpleNamespace(FileSystem=types.SimpleNamespace(from_uri=lambda uri: uri)))
     assert files.opened("s3a://me%40x@bucket/a b") == "s3://me%40x@bucket/a%20b" and files.opened("hdfs://n:8020/x") == "hdfs://n:8020/x"
+
+
+def test_op6_without_a_scheme(spark, folder, texts):
+    own = files.byte_level(*ENCODER[:2], {})
+    rows = tokencount.op6(spark, SF).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["closed"]) for r in rows) == [(i, len(own.encode(t)) + 1, True) for i, t in texts]
+    assert list(folder.glob("tidelake-flat-*/flat-*.bin"))
+
+
+def test_flat_files_in_a_plain_folder(spark, odd, tmp_path):
+    order = tokencount.write_flat(odd, f"{tmp_path}/x/", (*ENCODER[:2], {}), 50257, 50256)
+    assert tokencount.scan(spark, f"{tmp_path}/x", 50257, 50256, 1000).count() == order.count() == odd.count()
+    assert tokencount.scan(spark, f"{tmp_path}/none", 50257, 50256).count() == 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table, work_dir
+from .common import qualified, stored, table, work_dir
 from .files import byte_level, opened, publish, read, width
 
 #: Ids in a block that is searched at once; ids that a writing task holds before it closes a file.
@@ -28,7 +28,7 @@ def write_flat(df: DataFrame, folder: str, encoder: tuple, vocabulary: int, end:
 
     A null text counts as empty. A task writes files of PER_FILE ids or so, named after its partition and the file's
     number in it, so that a repeated task writes the same files again."""
-    kind = width(vocabulary)
+    folder, kind = qualified(df.sparkSession, folder), width(vocabulary)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +70,7 @@ def scan(spark: SparkSession, folder: str, vocabulary: int, end: int, block: int
     """(file, doc_no, start, n_tokens, closed) for every document in a folder of flat files: its number in its file, where
     its first id is, and how many ids it has with its end id. Ids after the last end id are a document that isn't closed.
     Empty files have no documents."""
-    kind = width(vocabulary)
+    folder, kind = qualified(spark, folder), width(vocabulary)
     files = [(name, n // kind.itemsize) for name, n in listed(folder) if n >= kind.itemsize]
     n_blocks = sum(-(-n // block) for _, n in files)
     rows = spark.createDataFrame(files, "file string, ids long")  # a row for each file
