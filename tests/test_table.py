@@ -518,6 +518,27 @@ def test_value_indexes_answer_every_condition(spark, cat, seed):
     assert files(p.eq("a", "b") | p.eq("a", "z")) == 3 and files((p.eq("a", "c") | p.eq("b", 7)) & p.is_not_null("a")) == 1
 
 
+def test_a_value_index_of_many_values_is_many_tasks(spark, cat):
+    t = cat.create_table("db.t", {"a": "INT", "b": "STRING"}, options={"file-index.bitmap.columns": "a,b"})
+    with_all = [(None if i % 50 == 0 else i, "xy"[i % 2]) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the tables are small
+    try:
+        t.append(frame(spark, with_all, "a int, b string").repartition(2))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    entries = t.meta.entries(t.meta.latest())
+    df = spark.read.parquet(t.uri(entries[0].file.index))
+    sizes = [r["count"] for r in df.groupBy(F.col("_metadata.file_name")).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < sum(sizes) / 2
+    want = {("0", None if a is None else str(a)) for a, _ in with_all} | {("1", b) for _, b in with_all}
+    assert len(entries) == 2 and {(r["column"], r["value"]) for r in df.collect()} == want and df.distinct().count() == df.count()
+    parts = spark.read.schema("a int, b string").parquet(*(t.uri(e.file.path) for e in entries)).select("*", t.key_column().alias("_file"))
+    found = {(r["_file"], r["value"]) for r in df.filter("column = '0'").collect()}
+    assert found == {(r["_file"], None if r["a"] is None else str(r["a"])) for r in parts.collect()}
+    assert rows(t.scan(where=p.eq("a", 7) | p.is_null("a"))) == rows(t.scan().filter("a = 7 or a is null"))
+    assert len(t.plan(where=p.eq("a", 7)).entries) == 1 and t.plan(where=p.eq("b", "z")).entries == []
+
+
 def test_global_index_reads_only_files_that_are_hit(spark, cat):
     t = cat.create_table("db.t", {"k": "BIGINT", "v": "STRING"}, ["v"], options={"row-tracking.enabled": "true"})
     for i in range(5):

@@ -22,14 +22,15 @@ FEW_FILES = 100_000
 
 
 def build_bitmaps(table, entries: list, columns: list[str]) -> list:
-    """Writes which values each new file has in the indexed columns."""
+    """Writes which values each new file has in the indexed columns. A task has a range of values: a column may have as many
+    as there are rows."""
     if not columns:
         return entries
     path = f"index/bitmap-{uuid.uuid4().hex}"
     schema = table.schema
     df = table.spark.read.schema(schema.struct).parquet(*(table.uri(e.file.path) for e in entries)).select("*", table.key_column().alias("_file"))
     pairs = F.explode(F.array(*(F.struct(F.lit(str(schema.field(c).id)).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("p")
-    df.select("_file", pairs).select("_file", "p.*").distinct().repartition("column").sortWithinPartitions("column", "value").write.parquet(f"{table.path}/{path}")
+    df.select("_file", pairs).select("_file", "p.*").distinct().repartitionByRange("column", "value", "_file").sortWithinPartitions("column", "value").write.parquet(f"{table.path}/{path}")
     return [replace(e, file=replace(e.file, index=path)) for e in entries]
 
 
