@@ -563,6 +563,29 @@ def test_orc_tables(spark, cat):
         cat.create_table("db.x", {"k": "BIGINT"}, options={"file.format": "orc", "row-tracking.enabled": "true"})
 
 
+@pytest.mark.parametrize("kind", ["orc", "parquet"])
+def test_statistics_of_counted_files_sort_no_rows(spark, tmp_path, monkeypatch, kind):
+    from tidelake.sources.files import counted
+
+    data = [[(None if i % 7 == 0 else i * (-1) ** n, f"v{(i * 37) % 100}" if n else None, i / 4, i % 2 == 0) for i in range(50)] for n in range(3)]
+    files = []
+    for n, part in enumerate(data):
+        at = tmp_path / f"a +%41 b{n}"
+        frame(spark, part, "k int, v string, w double, x boolean").coalesce(1).write.format(kind).save(f"file://{at}")
+        files += [f"file://{x}" for x in at.glob(f"part-*.{kind}")]
+    plans, frames = [], type(spark.range(1))
+    collect = frames.collect
+    monkeypatch.setattr(frames, "collect", lambda df: (collect(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    got = counted(spark, files)
+    monkeypatch.undo()
+    assert len(plans) == 1 and "SortAggregate" not in plans[0] and "Sort [" not in plans[0]
+    for told, part in zip(got, data, strict=True):
+        assert told["rows"] == 50
+        for c, values in zip("kvwx", zip(*part)):
+            known = [v for v in values if v is not None]
+            assert told["stats"][c] == [min(known, default=None), max(known, default=None), 50 - len(known)]
+
+
 def test_a_table_changes_its_format(spark, cat):
     t = cat.create_table("db.t", {"k": "BIGINT", "v": "STRING"})
     t.append(frame(spark, [(1, "a")]))

@@ -66,7 +66,10 @@ def counted(spark: SparkSession, uris: list[str]) -> list[dict]:
     bare = lambda u: re.sub("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*", "", u)
     df = spark.read.format("orc" if uris[0].endswith(".orc") else "parquet").load(uris)
     plain = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampNTZType, T.BooleanType))]
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    told = df.groupBy(path.alias("_path")).agg(F.count("*").alias("_rows"), *(x.alias(f"_{k}{i}") for i, c in enumerate(plain) for k, x in (("a", F.min(f"`{c}`")), ("z", F.max(f"`{c}`")), ("n", F.count_if(F.col(f"`{c}`").isNull())))))
+    # Least and greatest strings alone would have Spark sort all rows by file; next to a list, here an empty one, it hashes.
+    hashed = F.collect_list(F.lit(None).cast("int")).alias("_none")
+    stats = (x.alias(f"_{k}{i}") for i, c in enumerate(plain) for k, x in (("a", F.min(f"`{c}`")), ("z", F.max(f"`{c}`")), ("n", F.count_if(F.col(f"`{c}`").isNull()))))
+    told = df.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_rows"), *stats, hashed)
+    told = told.withColumn("_path", F.url_decode(F.replace(F.col("_path"), F.lit("+"), F.lit("%2B"))))
     of = {bare(r["_path"]): {"rows": r["_rows"], "stats": {c: [r[f"_a{i}"], r[f"_z{i}"], r[f"_n{i}"]] for i, c in enumerate(plain)}} for r in told.collect()}
     return [of.get(bare(u), {"rows": 0, "stats": {}}) for u in uris]
