@@ -33,6 +33,17 @@ def test_query(spark, duck, name):
     assert normal(rows) == normal(want)
 
 
+def test_orc_statistics_sort_no_rows(spark, duck, monkeypatch):
+    plans, frames = [], type(spark.range(1))
+    collect = frames.collect
+    monkeypatch.setattr(frames, "collect", lambda df: (collect(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    got = QUERIES["scan_orc_predicate"](spark, SF)
+    monkeypatch.undo()
+    assert len(plans) == 2 and not any("SortAggregate" in x for x in plans)  # one for each commit
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['scan_orc_predicate']})").fetchall()
+    assert want and normal(tuple(r) for r in got.collect()) == normal(want)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
